@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbita.llm import decontaminate as _decontaminate
+from orbita.llm import lsh_forest as _forest
 from orbita.llm import quality as _quality
 from orbita.llm import sentencepiece_codec as _codec
+from orbita.llm import sharding as _sharding
+from orbita.llm import suffix_dedup as _suffixes
 from orbita.llm import token_counts as _counts
 from orbita.llm import token_files as _files
 
@@ -31,6 +34,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files.token_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forest.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each length that occurs: documents of it, suffix sums, and the total under a context limit of it."""
     import public_tokenizers
@@ -57,15 +64,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _quality.BASE.rejects(F.col("failures")).alias("base_failed"), "kept", "failures")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = _sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffixes.remove_repeats(_table(spark, sf_dir, "documents"), length=400, with_text=False)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _codec.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_lsh_forest": op2_lsh_forest,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sharding": op8_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
