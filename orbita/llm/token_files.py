@@ -29,7 +29,9 @@ ROWS_PER_BATCH = 256
 #: Words whose ids a worker keeps; older ones go when it is full, so memory is bounded and results don't change.
 CACHE_WORDS = 400_000
 
-SCHEMA = pa.schema([pa.field("ids", pa.list_(pa.uint32(), SEQ_LEN)), pa.field("mask", pa.list_(pa.uint8(), SEQ_LEN))])
+#: Ids take 16 bits, as vocabularies of up to 65,536 need; masks take one.
+ID = np.dtype("<u2")
+SCHEMA = pa.schema([pa.field("ids", pa.list_(pa.uint16(), SEQ_LEN)), pa.field("mask", pa.list_(pa.bool_(), SEQ_LEN))])
 INDEX = pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64())])
 
 
@@ -149,30 +151,29 @@ class FileWriter:
         self.path, self.part = f"{path}/{name}", f"{path}/.{name}.{attempt}"
         self.sinks = [self.store.open_output_stream(self.part + x) for x in (".arrows", ".idx")]
         self.main, self.index = (ipc.new_stream(s, schema) for s, schema in zip(self.sinks, (SCHEMA, INDEX), strict=True))
-        self.rest: list[bytes] = []
+        self.rest: list[np.ndarray] = [np.zeros(0, ID)]
         self.held = 0
 
     def add(self, doc_ids: list[int], tokens: list[bytes]) -> None:
         self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(t) // 4 for t in tokens], pa.int64())], schema=INDEX))
-        self.rest += tokens
-        self.held += sum(map(len, tokens))
-        block = 4 * SEQ_LEN * ROWS_PER_BATCH
+        self.rest.append(np.frombuffer(b"".join(tokens), "<u4").astype(ID))
+        self.held += len(self.rest[-1])
+        block = SEQ_LEN * ROWS_PER_BATCH
         if self.held >= block:
-            data = b"".join(self.rest)
+            data = np.concatenate(self.rest)
             for at in range(0, len(data) - block + 1, block):
-                self._rows(np.frombuffer(data, np.uint32, block // 4, at), block // 4)
+                self._rows(data[at : at + block], block)
             self.rest = [data[len(data) // block * block :]]
             self.held = len(self.rest[0])
 
     def _rows(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(ids)) < real
         self.main.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), SEQ_LEN), pa.FixedSizeListArray.from_arrays(pa.array(mask), SEQ_LEN)], schema=SCHEMA))
 
     def close(self) -> None:
-        ids = np.frombuffer(b"".join(self.rest), np.uint32)
+        ids = np.concatenate(self.rest)
         if len(ids):
-            self._rows(np.concatenate([ids, np.zeros(-len(ids) % SEQ_LEN, np.uint32)]), len(ids))
+            self._rows(np.concatenate([ids, np.zeros(-len(ids) % SEQ_LEN, ID)]), len(ids))
         for w, s in zip((self.main, self.index), self.sinks, strict=True):
             w.close()
             s.close()
@@ -183,10 +184,13 @@ class FileWriter:
 def write_tokens(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Encodes every whole text, appends ``end_id`` and writes the ids under ``uri`` in ascending id order. Returns the manifest (file, n_docs, n_tokens).
 
-    Files are named by their place, so the dataset's ids are those of its files in order of name. Null text is empty and gives the end id
+    Raises ValueError for a vocabulary that 16 bits don't hold. Files are named by their place, so the dataset's ids are those of its files in order of name. Null text is empty and gives the end id
     alone. Repeated ids keep a sequence each; null ids come first. An empty table gives files without rows.
     """
 
+    if max(end_id, word_bpe(tokenizer_path).full.get_vocab_size() - 1) > np.iinfo(ID).max:
+        raise ValueError("ids beyond 16 bits")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}"
@@ -213,14 +217,14 @@ def open_file(uri: str, name: str) -> Iterator[tuple[int, np.ndarray]]:
     def source(suffix: str):
         return pa.memory_map(f"{path}/{name}{suffix}") if isinstance(store, fs.LocalFileSystem) else store.open_input_stream(f"{path}/{name}{suffix}")
 
-    held, at = np.zeros(0, np.uint32), 0
+    held, at = np.zeros(0, ID), 0
     with source(".idx") as i, source(".arrows") as m:
         blocks = iter(ipc.open_stream(m))
         for batch in ipc.open_stream(i):
             for doc, n in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().tolist(), strict=True):
                 while len(held) - at < n:
                     b = next(blocks)
-                    ids, mask = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
+                    ids, mask = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False)
                     ids = ids[: np.count_nonzero(mask)]
                     held, at = np.concatenate([held[at:], ids]) if at < len(held) else ids, 0
                 yield doc, held[at : at + n]
@@ -231,7 +235,7 @@ def sequences(uri: str, name: str) -> tuple[pa.Table, int]:
     """One file as a table over the mapped file: any sequence or mask by its number, without a copy; and the number of ids that are real."""
     store, path = filesystem(uri)
     table = ipc.open_stream(pa.memory_map(f"{path}/{name}.arrows") if isinstance(store, fs.LocalFileSystem) else store.open_input_stream(f"{path}/{name}.arrows")).read_all()
-    return table, int(sum(np.count_nonzero(c.flatten().to_numpy()) for c in table.column("mask").chunks))
+    return table, int(sum(np.count_nonzero(c.flatten().to_numpy(zero_copy_only=False)) for c in table.column("mask").chunks))
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, uri: str) -> DataFrame:
@@ -249,7 +253,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, uri: str) -> DataFrame
             for name in batch.column(0).to_pylist():
                 at, rows = starts[name], []
                 for doc, ids in open_file(uri, name):
-                    rows.append((doc, at, len(ids), zlib.crc32(ids.tobytes()), name))
+                    rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), name))
                     at += len(ids)
                     if len(rows) == 4096:
                         yield _rows(rows)
