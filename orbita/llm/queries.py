@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbita.llm import decontaminate as _decontaminate
+from orbita.llm import line_dedup as _lines
 from orbita.llm import lsh_forest as _forest
 from orbita.llm import quality as _quality
+from orbita.llm import secrets as _secrets
 from orbita.llm import sentencepiece_codec as _codec
 from orbita.llm import sharding as _sharding
 from orbita.llm import suffix_dedup as _suffixes
@@ -59,6 +61,25 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kind(k: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
+
+    return _secrets.scan_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        kind(0).alias("n_assign"),
+        kind(1).alias("n_access"),
+        kind(2).alias("n_hex"),
+        F.sha2(_secrets.joined("base").cast("binary"), 256).alias("base_sha256"),
+        _secrets.joined("spans").alias("spans"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _quality.apply_policy(_quality.ledger(_table(spark, sf_dir, "documents")), _quality.CURRENT)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _quality.BASE.rejects(F.col("failures")).alias("base_failed"), "kept", "failures")
@@ -82,13 +103,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lsh_forest": op2_lsh_forest,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_secrets": op6_secrets,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+_TRIMMED = "trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
+
 ORACLE: dict[str, str] = {
+    "op2_lsh_forest": r"""
+WITH RECURSIVE norm AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k:k + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM norm)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(v, w) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.v, e.b FROM reach r JOIN e ON e.a = r.w),
+c AS (SELECT v, min(w) AS component_id FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op5_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
+t AS (SELECT *, {_TRIMMED} AS norm FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line_no) AS rn FROM t WHERE length(norm) >= 32),
+u AS (SELECT doc_id, line_no, norm, length(norm) AS n FROM f WHERE rn = 1),
+p AS (SELECT x.norm AS a, y.norm AS b, x.n AS na, y.n AS nb, x.doc_id, x.line_no FROM u x JOIN u y ON left(x.norm, 16) = left(y.norm, 16) AND abs(x.n - y.n) <= 1 AND (y.doc_id, y.line_no) < (x.doc_id, x.line_no)
+  UNION SELECT x.norm, y.norm, x.n, y.n, x.doc_id, x.line_no FROM u x JOIN u y ON right(x.norm, 16) = right(y.norm, 16) AND abs(x.n - y.n) <= 1 AND (y.doc_id, y.line_no) < (x.doc_id, x.line_no)),
+g AS (SELECT DISTINCT a AS norm FROM p WHERE
+  (na = nb AND len(list_filter(range(1, na + 1), lambda i: substring(a, i, 1) <> substring(b, i, 1))) <= 1)
+  OR (na <> nb AND len(list_filter(range(0, greatest(na, nb)), lambda i: left(if(na > nb, a, b), i) || substring(if(na > nb, a, b), i + 2) = if(na > nb, b, a))) > 0)),
+m AS (SELECT t.doc_id, t.line_no, t.raw, coalesce(f.rn > 1 OR g.norm IS NOT NULL, false) AS gone, coalesce(f.rn = 1 AND g.norm IS NOT NULL, false) AS near
+  FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.line_no = t.line_no LEFT JOIN g ON g.norm = f.norm)
+SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped, count_if(near) AS n_near,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""",
     "op4_decontaminate": r"""
 WITH norm AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
