@@ -138,7 +138,7 @@ g AS (SELECT DISTINCT a AS norm FROM p WHERE
   OR (na <> nb AND len(list_filter(range(0, greatest(na, nb)), lambda i: left(if(na > nb, a, b), i) || substring(if(na > nb, a, b), i + 2) = if(na > nb, b, a))) > 0)),
 m AS (SELECT t.doc_id, t.line_no, t.raw, coalesce(f.rn > 1 OR g.norm IS NOT NULL, false) AS gone, coalesce(f.rn = 1 AND g.norm IS NOT NULL, false) AS near
   FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.line_no = t.line_no LEFT JOIN g ON g.norm = f.norm)
-SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped, count_if(near) AS n_near,
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped, CAST(count_if(near) AS BIGINT) AS n_near,
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """,
     "op4_decontaminate": r"""
