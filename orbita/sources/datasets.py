@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def missing_keys(wanted: DataFrame, known: DataFrame) -> DataFrame:
 def upsert(known: DataFrame, wanted: DataFrame, compute: Callable[[str], list[int]]) -> DataFrame:
     """``known`` (key, layer, size) and the rows of keys that it lacks, computed on the driver, one by one: keys are graphs to explore, so they are few."""
     spark = known.sparkSession
-    rows = [(r["key"], k, size) for r in missing_keys(wanted, known).orderBy("key").collect() for k, size in enumerate(compute(r["key"]))]
+    rows = [(r["key"], k, Decimal(size)) for r in missing_keys(wanted, known).orderBy("key").collect() for k, size in enumerate(compute(r["key"]))]
     more = spark.createDataFrame(rows, "key string, layer int, size decimal(38,0)")
     return known.select("key", "layer", F.col("size").cast("decimal(38,0)").alias("size")).unionByName(more)
 
