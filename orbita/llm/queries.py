@@ -113,7 +113,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TRIMMED = "trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
 
+#: The rules' bits from measurements that this SQL takes by itself.
+_FAILURES = " + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, (_, fails) in enumerate(_quality.RULES))
+
 ORACLE: dict[str, str] = {
+    "op7_quality_rules": rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, k, ws[k] || chr(10) || ws[k + 1] || chr(10) || ws[k + 2] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM w WHERE len(ws) >= 3)),
+rep AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM rep, range(3) t(j) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+  len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha_words, coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS max_word_chars,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines, len(list_filter(ls, lambda x: regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+f AS (SELECT *, CAST({_FAILURES} AS BIGINT) AS failures FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (failures & {_quality.CURRENT.any_of}) = 0 AS kept, failures FROM f
+""",
     "op2_lsh_forest": r"""
 WITH RECURSIVE norm AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k:k + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM norm)),

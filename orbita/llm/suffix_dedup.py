@@ -304,12 +304,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     ``length``-byte string covers which starts at two places or more, the same document included.
 
     Strings never cross documents and are judged on the input. ``kept`` leaves out bytes of characters that were cut in two; the hash is of all bytes left.
-    Null and empty texts have no bytes. Ids must be unique and not null. ``length`` must be at least 64, so that anchors are sparse.
+    Null and empty texts have no bytes. Ids must be unique; rows without one lose nothing and count for nothing. ``length`` must be at least 64, so that anchors are sparse.
     """
     if length < 64:
         raise ValueError("length must be at least 64")
     texts = id_text(docs, id_col, text_col)
     packed = texts.mapInArrow(_pack, "doc_id bigint, packed binary")
-    found = repeats(texts, packed, length).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
+    found = repeats(texts.filter("doc_id is not null"), packed, length).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string, span_starts array<bigint>, span_ends array<bigint>" * with_text
     return packed.join(found, "doc_id", "left").select("doc_id", "packed", "first", "n").mapInArrow(_remove(length, with_text), schema)
