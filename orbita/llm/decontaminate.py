@@ -99,7 +99,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, ranges, spans, items): hit words and where they stand in the text as it was, and the items found.
+    """(doc_id, n_words, ranges, items): ranges of hit words with their places in the text as it was, and the items found.
 
     A window is ``size`` consecutive words of an item, or all of an item of fewer; items and texts without words have none. Null is without words.
     Repeated item ids act as one item of several texts; with no items, nothing is hit. Rows with equal doc_id stay apart when there is one block of items;
@@ -110,20 +110,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = matcher(items, size)
             for batch in batches:
-                n, ranges, spans, found = [], [], [], []
+                n, ranges, found = [], [], []
                 for text in batch.column(1).to_pylist():
                     a, b, c = m.scan(text)
                     n.append(a)
-                    ranges.append([{"start": x, "end": y} for x, y in b])
-                    spans.append([{"start": x, "end": y} for x, y in original_spans(text, b)])
+                    ranges.append([{"start": x, "end": y, "char_start": u, "char_end": v} for (x, y), (u, v) in zip(b, original_spans(text, b), strict=True)])
                     found.append(sorted(c))
-                pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ranges, pairs), pa.array(spans, pairs), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "ranges", "spans", "items"]
-                )
+                kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "char_start", "char_end")]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ranges, kind), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "ranges", "items"])
 
-        pair = "array<struct<start:bigint,end:bigint>>"
-        return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id bigint, n_words bigint, ranges {pair}, spans {pair}, items array<string>")
+        return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id bigint, n_words bigint, ranges {_RANGES}, items array<string>")
 
     blocks = [over(items) for items in item_blocks(benchmark, block_bytes=block_bytes)]
     if len(blocks) == 1:
@@ -131,18 +127,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     out = blocks[0]
     for more in blocks[1:]:
         out = out.unionByName(more)
-    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out.withColumns({"ranges": _joined("ranges"), "spans": _joined("spans"), "items": F.array_sort("items")})
+    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return out.withColumns({"ranges": _joined("ranges"), "items": F.array_sort("items")})
 
 
 def _joined(column: str):
     """Maximal ranges of a list of ranges."""
-    return F.expr(f"""aggregate(array_sort({column}), cast(array() as array<struct<start:bigint,end:bigint>>), (o, x) ->
+    return F.expr(f"""aggregate(array_sort({column}), cast(array() as {_RANGES}), (o, x) ->
         if(size(o) > 0 and x.start <= element_at(o, -1).end,
-           concat(slice(o, 1, size(o) - 1), array(named_struct('start', element_at(o, -1).start, 'end', greatest(element_at(o, -1).end, x.end)))),
+           concat(slice(o, 1, size(o) - 1), array(named_struct('start', element_at(o, -1).start, 'end', greatest(element_at(o, -1).end, x.end),
+               'char_start', element_at(o, -1).char_start, 'char_end', greatest(element_at(o, -1).char_end, x.char_end)))),
            concat(o, array(x))))""")
 
 
+_RANGES = "array<struct<start:bigint,end:bigint,char_start:bigint,char_end:bigint>>"
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with all their columns, each judged by its own text; a pass for each block, no shuffle."""
     out = docs
