@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
+
 import pytest
 
 from orbita.operators.bfs import InteractiveBfs, bfs, iterate_layers
@@ -9,54 +13,47 @@ from orbita.plans import library as L
 from orbita.plans import puzzles as P
 from orbita.plans.definition import create_graph
 
+FULL = {name: json.loads(sizes) for name, sizes in re.findall(r"^\| (.+?) \| (\[[0-9, ]+\]) \|", (Path(__file__).resolve().parents[1] / "FIXTURES.md").read_text(), re.M)}
+ROWS = {name.replace(" (directed)", ""): sizes for name, sizes in FULL.items()}
+FAMILIES = sorted(k for k in ROWS if (m := re.match(r"(\w+)\(", k)) and m[1] in L.FAMILIES and k.endswith(")") and " " not in k)
+
+
+def test_fixtures_are_read():
+    assert len(FAMILIES) >= 28
+
+
+@pytest.mark.parametrize("row", FAMILIES)
+def test_families(spark, row):
+    name, numbers = re.match(r"(\w+)\((.*)\)", row).groups()
+    result = bfs(spark, L.FAMILIES[name](*(int(x.partition("=")[2] or x) for x in numbers.split(","))), max_layer_size_to_store=0)
+    assert result.completed and result.sizes == ROWS[row]
+
+
 GOLDEN = [
-    (L.lrx(6), [1, 3, 6, 11, 20, 35, 55, 81, 109, 128, 126, 95, 40, 6, 3, 1]),
-    (L.lx(5), [1, 2, 3, 5, 8, 12, 15, 20, 22, 19, 11, 2]),
-    (L.top_spin(6), [1, 3, 6, 11, 20, 37, 63, 103, 165, 152, 106, 46, 7]),
-    (L.pancake(6), [1, 5, 20, 79, 199, 281, 133, 2]),
-    (L.burnt_pancake(6), [1, 6, 30, 150, 675, 2340, 6604, 12795, 15519, 6957, 959, 43, 1]),
-    (L.all_transpositions(6), [1, 15, 85, 225, 274, 120]),
-    (L.transposons(6), [1, 35, 259, 380, 45]),
-    (L.block_interchange(6), [1, 70, 469, 180]),
-    (L.full_reversals(6), [1, 15, 129, 389, 184, 2]),
-    (L.signed_reversals(6), [1, 21, 245, 2170, 8820, 19495, 15148, 180]),
-    (L.cyclic_coxeter(6), [1, 6, 21, 56, 126, 197, 195, 100, 17, 1]),
-    (L.stars(6), [1, 5, 20, 70, 170, 250, 169, 35]),
-    (L.rapaport_m1(6), [1, 5, 16, 41, 95, 176, 240, 143, 3]),
-    (L.rapaport_m2(6), [1, 3, 5, 8, 13, 21, 32, 47, 64, 90, 124, 122, 104, 52, 22, 10, 2]),
-    (L.all_cycles(6), [1, 409, 310]),
-    (L.derangements(6), [1, 265, 454]),
-    (L.involutive_derangements(6), [1, 15, 85, 225, 274, 120]),
-    (L.larx(6), [1, 2, 3, 5, 8, 12, 18, 28, 43, 63, 88, 113, 125, 108, 70, 24, 8, 1]),
-    (L.lsl_cycles(6), [1, 4, 10, 21, 42, 83, 142, 191, 167, 44, 10, 4, 1]),
-    (L.prefix_cycles(6), [1, 5, 24, 90, 240, 360]),
-    (L.down_cycles(6), [1, 15, 85, 225, 274, 120]),
-    (L.wrapped_k_cycles(6, 3), [1, 6, 33, 123, 167, 30]),
-    (L.increasing_k_cycles(6, 3), [1, 20, 147, 161, 31]),
-    (L.consecutive_k_cycles(6, 3), [1, 4, 15, 42, 77, 91, 76, 39, 13, 2]),
-    (L.heisenberg(3, 10), [1, 4, 12, 36, 82, 162, 282, 254, 112, 44, 11]),
-    (L.sl_fundamental_roots(2, 6), [1, 4, 12, 28, 48, 40, 11]),
-    (L.sl_root_weyl(2, 6), [1, 4, 11, 19, 26, 31, 30, 18, 4]),
-    (L.lrx(4).with_central("0101"), [1, 2, 3]),
-    (L.top_spin(4).with_central("0011"), [1, 3]),
-    (P.globe_puzzle(1, 1), [1, 4, 10, 8, 1]),
-    (P.hungarian_rings(2, 1, 7, 3), [1, 3, 6, 12, 20, 34, 55, 83, 124, 185, 274, 395, 558, 726, 808, 739, 540, 323, 104, 26, 14, 6, 3, 1]),
+    (L.heisenberg(3, 10), "heisenberg(3) mod 10"),
+    (L.sl_fundamental_roots(2, 6), "SL(2) fundamental roots mod 6"),
+    (L.sl_root_weyl(2, 6), "SL(2) root+Weyl mod 6"),
+    (L.lrx(4).with_central("0101"), "lrx coset 0101"),
+    (L.top_spin(4).with_central("0011"), "top_spin coset 0011"),
+    (P.globe_puzzle(1, 1), "globe(1,1)"),
+    (P.hungarian_rings(2, 1, 7, 3), "hungarian_rings(2,1,7,3)"),
+    (L.lrx(10).with_central("0110110110"), "lrx(10) coset 0110110110"),
 ]
 
 
-@pytest.mark.parametrize("graph, sizes", GOLDEN, ids=[g.name or str(k) for k, (g, _) in enumerate(GOLDEN)])
-def test_growth(spark, graph, sizes):
+@pytest.mark.parametrize("graph, row", GOLDEN, ids=[row for _, row in GOLDEN])
+def test_growth(spark, graph, row):
     result = bfs(spark, graph, max_layer_size_to_store=0)
-    assert result.completed and result.sizes == sizes
+    assert result.completed and result.sizes == FULL[row]
 
 
 def test_growth_without_modulo(spark):
-    assert bfs(spark, L.heisenberg(3), max_diameter=9).sizes == [1, 4, 12, 36, 82, 164, 294, 476, 724, 1052]
+    assert bfs(spark, L.heisenberg(3), max_diameter=15).sizes == FULL["heisenberg(3) modulo 0, depth 15"]
 
 
 def test_cube_prefix(spark):
-    assert bfs(spark, P.rubik_cube(2, "fixed_QTM"), max_diameter=6).sizes == [1, 6, 27, 120, 534, 2256, 8969]
-    assert bfs(spark, P.rubik_cube(2, "fixed_HTM"), max_diameter=5).sizes == [1, 9, 54, 321, 1847, 9992]
+    for metric, row in (("fixed_QTM", "2x2x2 fixed corner QTM"), ("fixed_HTM", "2x2x2 fixed corner HTM")):
+        assert bfs(spark, P.rubik_cube(2, metric), max_diameter=5).sizes == FULL[row][:6]
 
 
 def test_cube_generators():
