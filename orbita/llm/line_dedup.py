@@ -16,6 +16,8 @@ from orbita.llm.shared import cut, id_text
 #: Lines of fewer characters always stay: such lines recur in sound prose, and an edit weighs more in them.
 MIN_CHARS = 32
 BLOCKS = 4
+#: Rows of (document, line, block), of some 50 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 500_000
 UNIT = 4 * BLOCKS
 _TRIM = "trim(BOTH '\\t\\n\\u000b\\f\\r ' FROM {})"
 
@@ -50,8 +52,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     owned = first.select("at", F.explode("keys").alias("b")).select("at", "b.*")
     met = owned.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
-    near = cut(owned.join(met, "k").select("at.doc_id", "at.line_no", "q", "j"), "met")
+    near = cut(owned.join(cut(met, "keys"), "k").select("at.doc_id", "at.line_no", "q", "j"), "met")
     wanted = near.groupBy("doc_id", "line_no").agg(F.collect_set(F.struct("q", "j")).alias("blocks")).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "blocks")).alias("wanted"))
+    # few lines meet as a rule; then the texts needn't move, beyond the bound they do
+    wanted = F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted
     picked = texts.join(wanted, "doc_id").withColumn("parts", F.split("text", "\n", -1)).select("doc_id", F.explode(F.expr("transform(wanted, w -> struct(w.line_no, w.blocks, get(parts, w.line_no) as raw))")).alias("w"))
     picked = picked.select("doc_id", "w.line_no", "w.blocks", _norm("w.raw").alias("norm"))
     picked = cut(picked, "picked")
@@ -73,6 +77,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     close = best.join(mine, "at").join(other, "by").filter(F.levenshtein("norm", "other", 1) >= 0).select("at")
     # the first of equal lines and, with it, all lines equal to it
     gone = first.select("h1", "h2", "at", "copies").join(close.withColumn("near", F.lit(True)), "at", "left").filter("copies > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = cut(gone, "gone")  # joined as a written table, so that a line of very many copies can be split
     return lines.select("doc_id", "line_no", "h1", "h2").join(gone, ["h1", "h2"]).filter(F.col("near") | (F.struct("doc_id", "line_no") != F.col("at"))).select("doc_id", "line_no", (F.col("near") & (F.struct("doc_id", "line_no") == F.col("at"))).alias("near"))
 
 
