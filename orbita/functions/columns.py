@@ -140,7 +140,7 @@ def unranked(rank: Column, n: int) -> Column:
     factorials = F.array(*(F.factorial(F.lit(k)) for k in range(n - 1, -1, -1)))
 
     def step(s: Column, f: Column) -> Column:
-        x = F.get(s["left"], F.expr("0") + F.floor(s["r"] / f).cast("int"))
+        x = F.get(s["left"], F.call_function("div", s["r"], f).cast("int"))
         return F.struct((s["r"] % f).alias("r"), F.array_remove(s["left"], x).alias("left"), F.array_append(s["out"], x).alias("out"))
 
     return F.aggregate(factorials, start, step, lambda s: s["out"])

@@ -78,3 +78,12 @@ def test_save_and_load(spark, tmp_path):
     save_layers(bfs(spark, graph, max_layer_size_to_store=None).layers(), graph, f"file://{tmp_path}/g")
     layers, again = load_layers(spark, f"file://{tmp_path}/g")
     assert again == graph and [r["count"] for r in layers.groupBy("layer").count().orderBy("layer").collect()] == bfs(spark, graph).sizes
+
+
+def test_ranks_beyond_doubles(spark):
+    from orbita.functions import perm
+
+    ranks = [0, 1, 6_402_373_705_727_999, 2_432_902_008_176_639_998]
+    got = spark.createDataFrame([(r,) for r in ranks], "r bigint").select("r", C.unranked(F.col("r"), 20).alias("p")).collect()
+    assert all(x["p"] == perm.unrank(x["r"], 20) for x in got)
+    assert [x[0] for x in spark.createDataFrame([(x["p"],) for x in got], "p array<bigint>").select(C.ranked(F.col("p"), 20)).collect()] == ranks
