@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = candidates(classes.filter("signature is not null and doc_id is not null"), percent)
     found = components(confirmed(pairs, texts, k, percent))
     owners = classes.select("set_key", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
+    owners = cut(owners, "owners")  # joined as a written table, so that a large class can be split
     out = made.select("doc_id", "n_shingles", "set_key").join(owners, "set_key")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -27,6 +27,8 @@ from orbita.llm.shared import cut, id_text, width
 from orbita.llm.suffix_anchors import GRAM, cells
 
 FINE = 32
+#: Bytes of text whose anchors are found at once; a longer document is taken whole.
+ANCHOR_BYTES = 1 << 20
 #: Bytes of text in one suffix sorting.
 BLOCK_BYTES = 4 << 20
 #: A key that more runs share than this is settled start by start with counted hashes, which needs no task to hold the key's runs.
@@ -121,7 +123,7 @@ def _coarse(length: int, core: int):
         for batch in batches:
             offsets, data = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in groups(offsets):
+            for lo, hi in groups(offsets, ANCHOR_BYTES):
                 at = offsets[lo : hi + 1] - offsets[lo]
                 b = data[offsets[lo] : offsets[hi]]
                 row, first, last, anchor = cells(b, at, length, core)
@@ -143,10 +145,11 @@ def settle(runs: DataFrame) -> DataFrame:
     Of runs with equal bytes one is open, and stands for all, if others share the key.
     """
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("sharers"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("sharers > 1")
+    keys = cut(keys, "keys")  # joins between written tables are ones that large keys can be split in
     shared = cut(runs.join(keys.select("key", "sharers", (F.col("lo") != F.col("hi")).alias("mixed")), "key"), "shared")
     mixed = shared.filter("mixed")
     kinds = mixed.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "first")).alias("speaker"))
-    told = mixed.join(kinds, ["key", "content"])
+    told = mixed.join(cut(kinds, "kinds"), ["key", "content"])
     plain = ["doc_id", "first", "n", "off", "key", "sharers"]
     return shared.filter("not mixed").select(*plain, F.lit(True).alias("whole"), F.lit(False).alias("open")).unionByName(
         told.select(*plain, (F.col("copies") > 1).alias("whole"), (F.struct("doc_id", "first") == F.col("speaker")).alias("open"))

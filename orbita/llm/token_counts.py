@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbita.llm.shared import id_text
+from orbita.llm.shared import cut, id_text
 
 _encodings: dict[tuple[str, str], object] = {}
 
@@ -46,9 +46,9 @@ def suffix_sums(histogram: DataFrame, block: int = 4096) -> DataFrame:
     """Adds to each length L: docs_ge and tokens_ge (documents of at least L tokens, and their tokens), docs_lt, and
     truncated_total (tokens left if every document is cut to L tokens).
 
-    Sums run inside blocks of ``block`` lengths, and over the blocks' totals: as many of these as the longest document has blocks, whatever the number of documents.
+    The histogram is written once, as its two readers would encode all texts twice. Sums run inside blocks of ``block`` lengths, and over the blocks' totals: as many of these as the longest document has blocks, whatever the number of documents.
     """
-    h = histogram.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
+    h = cut(histogram, "histogram").withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
     down = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = totals.select("block", F.coalesce(F.sum("d").over(down), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(down), F.lit(0)).alias("t_after"), F.sum("d").over(Window.partitionBy()).alias("all_docs"), F.sum("t").over(Window.partitionBy()).alias("all_tokens"))
