@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in groups of about so many bytes, which bounds memory; a longer text is a group of its own.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))

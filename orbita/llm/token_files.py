@@ -35,6 +35,10 @@ SCHEMA = pa.schema([pa.field("ids", pa.list_(pa.uint16(), SEQ_LEN)), pa.field("m
 INDEX = pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64())])
 
 
+#: Longer words are encoded each time: scripts without spaces have some as long as a text, and the cache's memory should not hang on them.
+CACHED_CHARS = 64
+
+
 class WordCache(dict):
     """Word to the bytes of its ids, filled on demand, in two generations of bounded size."""
 
@@ -43,10 +47,13 @@ class WordCache(dict):
         self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, word):
+        if len(word) > CACHED_CHARS:
+            return self.encode(word)
         out = self.old.get(word)
         if out is None:
             out = self.encode(word)
         if len(self) >= self.most:
+            self.old = {}  # gone before the copy, so that there are never three generations
             self.old = dict(self)
             self.clear()
         self[word] = out
