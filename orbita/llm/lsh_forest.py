@@ -2,12 +2,14 @@
 
 A document's set is its distinct k-word shingles. Each tree of the forest orders all documents by a signature of its own; documents that
 agree on a long prefix stand side by side. Candidates are neighbours with a common prefix of at least ``MIN_DEPTH`` values: all of them where
-few documents share a prefix, else only those that share a longer one, as deep as the region needs. Candidates are confirmed on full sets,
-and links are joined into components without gathering them in one place.
+few documents share a prefix, else those that share a longer one, as deep as the region needs. Candidates are confirmed on full sets,
+and links are joined into components without gathering them in one place. What a crowded prefix leaves in more than one component is then compared
+across components in blocks, the most central documents first, until no pair of the prefix is untried.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,11 @@ MIN_DEPTH = 4
 REGION = 8
 #: Neighbours of each document that are candidates however many share its prefix.
 NEAREST = 2
+#: Documents of a crowded prefix are compared in blocks of about so many, and in rounds: pairs with the block's most central document, then the next, ..., then all.
+BLOCK = 512
+ROUNDS = ((0, 1), (1, 8), (8, 64), (64, 1 << 31))
+#: Greatest probability that a pair at the similarity agrees in fewer minima than a crowded prefix asks for; the trees themselves lose more.
+LOST = 1e-8
 
 _rng = np.random.default_rng(85_16_20)
 _A = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,6 +167,91 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return two.mapInArrow(run, "a bigint, b bigint")
 
 
+def least_common(percent: int) -> int:
+    """The minima, of TREES * DEPTH, in which a pair at the similarity agrees, but for a probability of LOST."""
+    n, p, tail = TREES * DEPTH, percent / 100, 0.0
+    for k in range(n + 1):
+        tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if tail > LOST:
+            return k
+    return n
+
+
+def crowded(representatives: DataFrame, found: DataFrame) -> DataFrame:
+    """(tree, bucket, x, y, side, doc_id, n_shingles, signature): pairs of blocks of the prefixes that more than REGION + 1 documents of more than one component share.
+
+    The largest component of a prefix has blocks of its own, which only meet those of the others.
+    """
+    placed = representatives.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "signature")
+    rows = placed.select(F.posexplode(F.array(*(F.substring("signature", 1 + 2 * DEPTH * t, 2 * MIN_DEPTH) for t in range(TREES)))).alias("tree", "bucket"), "doc_id", "component")
+    many = rows.groupBy("tree", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    many = cut(many.filter((F.col("n") > REGION + 1) & (F.col("low") < F.col("high"))).select("tree", "bucket"), "crowded")
+    rows = cut(rows.join(many, ["tree", "bucket"]), "crowd")
+    sizes = rows.groupBy("tree", "bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("big"), F.max("n").alias("n_big"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = cut(sizes.select("tree", "bucket", "big", blocks(F.col("n") - F.col("n_big")).alias("small_blocks"), blocks(F.col("n_big")).alias("big_blocks")), "sizes")
+    small = F.col("component") != F.col("big")
+    rows = rows.join(sizes, ["tree", "bucket"]).withColumn("own", F.when(small, F.expr("pmod(xxhash64(doc_id), small_blocks)")).otherwise(F.expr("small_blocks + pmod(xxhash64(doc_id), big_blocks)")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(small, F.col("small_blocks") + F.col("big_blocks") - 1).otherwise(F.col("small_blocks") - 1))))
+    rows = rows.select("tree", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("side"), "doc_id")
+    return cut(rows.join(representatives, "doc_id").select("tree", "bucket", "x", "y", "side", "doc_id", "n_shingles", "signature"), "blocks")
+
+
+def _across(percent: int, lo: int, hi: int):
+    least = least_common(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs across components of one pair of blocks, of which the more central document has a rank from ``lo`` to ``hi`` in its block."""
+        table = table.sort_by("doc_id")
+        ids, sizes, comps = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component"))
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if (comps == comps[0]).all():
+            return none
+        tree, side = table.column("tree")[0].as_py(), table.column("side").to_numpy()
+        sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), TREES, DEPTH)
+        within = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        left = np.arange(len(ids)) if within else np.flatnonzero(~side)
+        right = left if within else np.flatnonzero(side)
+        if not len(left) or not len(right):
+            return none
+        common, take = np.empty((len(left), len(right)), np.int16), np.empty((len(left), len(right)), bool)
+        for k, i in enumerate(left):
+            same = sigs[right] == sigs[i]
+            common[k] = same.sum(axis=(1, 2))
+            # a pair belongs to the first tree in which it shares a prefix; if that one isn't crowded, the pair has been tried
+            first = same[:, :, :MIN_DEPTH].all(axis=2).argmax(axis=1) == tree
+            small, large = np.minimum(sizes[i], sizes[right]), np.maximum(sizes[i], sizes[right])
+            take[k] = first & (common[k] >= least) & (comps[right] != comps[i]) & (100 * small >= percent * large)
+        if within:
+            take = np.triu(take, 1)
+        rank = []
+        for axis in (1, 0):
+            place = np.empty(common.shape[1 - axis], np.int64)
+            place[np.argsort(-common.sum(axis=axis, dtype=np.int64), kind="stable")] = np.arange(len(place))
+            rank.append(place)
+        turn = np.minimum(rank[0][:, None], rank[1][None, :])
+        i, j = np.nonzero(take & (turn >= lo) & (turn < hi))
+        a, b = ids[left[i]], ids[right[j]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
+def settled(representatives: DataFrame, texts: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """The components ``found``, joined further by the links that crowded prefixes hold beyond the neighbours. No pair that shares a prefix stays untried, unless its documents are in one component."""
+    blocks = crowded(representatives, found)
+    if blocks.isEmpty():
+        return found
+    some = cut(texts.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi"), "crowd_texts")
+    for lo, hi in ROUNDS:
+        rows = blocks.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+        pairs = cut(rows.groupBy("tree", "bucket", "x", "y").applyInArrow(_across(percent, lo, hi), "a bigint, b bigint").distinct(), "across")
+        links = cut(confirmed(pairs, some, k, percent), "across_links")
+        if not links.isEmpty():
+            found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+    return found
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of an undirected graph reaches, by alternating large and small stars.
 
@@ -198,8 +290,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     texts = id_text(docs, id_col, text_col)
     made = cut(sketches(docs, k, id_col, text_col), "sketches")
     classes = made.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    pairs = candidates(classes.filter("signature is not null and doc_id is not null"), percent)
-    found = components(confirmed(pairs, texts, k, percent))
+    representatives = cut(classes.filter("signature is not null and doc_id is not null").select("doc_id", "n_shingles", "signature"), "representatives")
+    pairs = candidates(representatives, percent)
+    found = cut(components(confirmed(pairs, texts, k, percent)), "components")
+    found = settled(representatives, texts, found, k, percent)
     owners = classes.select("set_key", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     owners = cut(owners, "owners")  # joined as a written table, so that a large class can be split
     out = made.select("doc_id", "n_shingles", "set_key").join(owners, "set_key")

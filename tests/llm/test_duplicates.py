@@ -74,6 +74,31 @@ def test_near_duplicates(spark, copies, k, percent):
     assert kept.columns == copies.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("k, percent, changed, n", [(3, 85, 7, 1200), (5, 80, 6, 200), (5, 80, 6, 1200)])
+def test_star_families(spark, k, percent, changed, n):
+    """Copies that are like one document, but not like each other."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    rows = [(n // 2, " ".join(base))]
+    for i in [i for i in range(n + 1) if i != n // 2]:
+        w = list(base)
+        for p in r.sample(range(300), changed):
+            w[p] = f"v{r.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingle_set(t, k) for i, t in rows}
+    hub, links = sets[n // 2], []
+    for i, s in sets.items():
+        c = len(s & hub)
+        if i != n // 2 and 100 * c >= percent * (len(s) + len(hub) - c):
+            links.append((i, n // 2))
+    alone = sorted(set(sets) - {i for p in links for i in p})
+    for i in alone:
+        links += [(i, j) for j, s in sets.items() if j != i and 100 * len(s & sets[i]) >= percent * len(s | sets[i])]
+    want = closure(sorted(sets), links)
+    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k, percent).collect()}
+    assert len(links) > n // 2 and got == want
+
+
 def test_no_texts(spark, copies):
     assert lsh_forest.near_duplicates(copies.limit(0)).count() == 0
     assert line_dedup.dedup_lines(copies.limit(0)).count() == 0
