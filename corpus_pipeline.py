@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that repeat an earlier line within one edit; every document stays, with what is left of its text."""
-    return _lines.without_repeated_lines(docs)
+    """Lines go that repeat an earlier line: within one edit from 32 characters on, exactly below. Blank lines stay, and every document does, with what is left of its text."""
+    return _lines.without_repeated_lines(docs, exact_from=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orbita.llm.shared import cut, id_text
 
-#: Lines of fewer characters always stay: such lines recur in sound prose, and an edit weighs more in them.
+#: Lines of fewer characters have no near matches, as an edit weighs more in them; and they stay where equal, too, unless ``exact_from`` is less.
 MIN_CHARS = 32
 BLOCKS = 4
 #: Rows of (document, line, block), of some 50 bytes each, that are broadcast at most.
@@ -35,18 +35,18 @@ def _block_keys() -> Column:
     return F.expr(f"flatten(transform({classes}, q -> {one}))")
 
 
-def _lines(texts: DataFrame) -> DataFrame:
+def _lines(texts: DataFrame, exact_from: int) -> DataFrame:
     exploded = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    return exploded.select("doc_id", "line_no", _norm("raw").alias("norm")).filter(F.length("norm") >= MIN_CHARS)
+    return exploded.select("doc_id", "line_no", _norm("raw").alias("norm")).filter(F.length("norm") >= min(exact_from, MIN_CHARS))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_from: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, near): lines that go. A line goes if an earlier one (by document id, then place) equals it, or the first
-    line equal to it is within one edit of an earlier one (``near``). Whether the earlier one itself goes does not matter.
+    line equal to it is within one edit of an earlier one (``near``). Whether the earlier one itself goes does not matter. Lines of ``exact_from`` to MIN_CHARS - 1 characters go only where equal.
     """
     texts = id_text(docs, id_col, text_col)
     lines = cut(
-        _lines(texts).select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm", F.length("norm")).alias("h2"), _block_keys().alias("keys")),
+        _lines(texts, exact_from).select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm", F.length("norm")).alias("h2"), _block_keys().alias("keys")),
         "lines",
     )
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
@@ -94,9 +94,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select("doc_id", F.size("parts").cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), kept.alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_from: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of ``docs``; the texts of those that lose lines are replaced, and stay null where they were."""
-    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__l_id")).agg(F.collect_list("line_no").alias("__l_gone"))
+    gone = dropped_lines(docs, id_col, text_col, exact_from).groupBy(F.col("doc_id").alias("__l_id")).agg(F.collect_list("line_no").alias("__l_gone"))
     joined = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__l_id"), "left").withColumn("__l_parts", F.split(F.col(text_col).cast("string"), "\n", -1))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(__l_parts) - 1), __l_gone), i -> get(__l_parts, i)), '\\n')")
     text = F.when(F.col("__l_gone").isNull(), F.col(text_col)).otherwise(kept)
