@@ -43,8 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text that is left, and digests of them and of what they decode to."""
-    return _codec.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    """Ids of each text that is left, what they decode to, and digests of both."""
+    return _codec.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
