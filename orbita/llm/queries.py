@@ -37,7 +37,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forest.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+    return _forest.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

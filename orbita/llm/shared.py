@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,46 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows without an id come after all others.
+NO_ID = (1 << 63) - 1
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    own = F.col(f"`{id_col}`").cast("bigint")
+    return F.coalesce(own, F.lit(NO_ID)), F.xxhash64(own, _text(text_col))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rid, th, text): only what an operator reads, so other columns can't clash. Null text becomes empty.
+
+    (rid, th) tells rows apart that share an id, by 64 bits of their texts; only rows equal in id and text share it. Rows without an id have NO_ID as rid.
+    Joins use both, so that an id that many rows share, or that they lack, spreads.
+    """
+    rid, th = _key(id_col, text_col)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), rid.alias("rid"), th.alias("th"), _text(text_col).alias("text"))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to clash with no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` with the key of :func:`keyed` in two more columns, and their names, which no column of ``docs`` has."""
+    names = free_names(docs, "rid", "th")
+    return docs.withColumns(dict(zip(names, _key(id_col, text_col), strict=True))), names
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, as (doc_id, text); null text becomes empty. Other columns can't clash."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

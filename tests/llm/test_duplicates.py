@@ -109,7 +109,8 @@ def test_no_texts(spark, copies):
 def test_components(spark):
     r = random.Random(2)
     links = [(a, r.randrange(300)) for a in range(300) if r.random() < 0.8] + [(k, k + 1) for k in range(400, 460)]
-    got = {x["node"]: x["component"] for x in lsh_forest.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    rows = [(a // 2, a % 2, b // 2, b % 2) for a, b in links]
+    got = {2 * x["rid"] + x["th"]: 2 * x["component"] + x["component2"] for x in lsh_forest.components(spark.createDataFrame(rows, "a bigint, a2 bigint, b bigint, b2 bigint")).collect()}
     want = closure({x for p in links for x in p}, links)
     assert all(got.get(n, n) == c for n, c in want.items())
 
