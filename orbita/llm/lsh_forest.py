@@ -157,7 +157,8 @@ def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(rid, th, text) of the rows that pairs name, one for each."""
     names = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("a2").alias("th")), F.struct(F.col("b").alias("rid"), F.col("b2").alias("th")))).alias("x"))
     names = cut(names.select("x.*").distinct(), "named")
-    some = cut(texts.select("rid", "th", "text").join(names, ["rid", "th"], "left_semi"), "some_texts")
+    # shuffled at every size, so that disk grows as the input does
+    some = cut(texts.select("rid", "th", "text").join(names.hint("merge"), ["rid", "th"], "left_semi"), "some_texts")
     # rows equal in id and text come more than once; they are only put together where there are any
     return some if some.count() == names.count() else cut(some.dropDuplicates(["rid", "th"]), "some_texts")
 
