@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbita.llm.bytes_np import groups, utf8
-from orbita.llm.shared import cut, id_text, width
+from orbita.llm.shared import cut, keyed, width
 from orbita.llm.suffix_anchors import GRAM, cells
 
 FINE = 32
@@ -111,18 +111,22 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for the shuffles."""
     c = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c.compress(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())], names=["doc_id", *ROW, "packed"])
 
 
-_RUN = "doc_id bigint, first int, n int, off int, key bigint, content bigint"
+#: A row of the input, see :func:`orbita.llm.shared.keyed`.
+ROW = ["rid", "th"]
+_ROW_KIND = "rid bigint, th bigint"
+_RUN = f"{_ROW_KIND}, first int, n int, off int, key bigint, content bigint"
+_RUN_NAMES = [*ROW, "first", "n", "off", "key", "content"]
 
 
 def _coarse(length: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for batch in batches:
-            offsets, data = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            offsets, data = utf8(batch.column(2))
+            ids = [batch.column(c).to_numpy() for c in (0, 1)]
             for lo, hi in groups(offsets, ANCHOR_BYTES):
                 at = offsets[lo : hi + 1] - offsets[lo]
                 b = data[offsets[lo] : offsets[hi]]
@@ -132,8 +136,8 @@ def _coarse(length: int, core: int):
                 keys = [_signed(h(raw[a : a + core])) for a in anchor.tolist()]
                 content = [_signed(h(raw[f : e + length], o)) for f, e, o in zip(first.tolist(), last.tolist(), off.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][row], pa.int64()), *(pa.array(x, pa.int32()) for x in (first - at[row], last - first + 1, off)), pa.array(keys, pa.int64()), pa.array(content, pa.int64())],
-                    names=["doc_id", "first", "n", "off", "key", "content"],
+                    [*(pa.array(x[lo:hi][row]) for x in ids), *(pa.array(x, pa.int32()) for x in (first - at[row], last - first + 1, off)), pa.array(keys, pa.int64()), pa.array(content, pa.int64())],
+                    names=_RUN_NAMES,
                 )
 
     return run
@@ -148,25 +152,26 @@ def settle(runs: DataFrame) -> DataFrame:
     keys = cut(keys, "keys")  # joins between written tables are ones that large keys can be split in
     shared = cut(runs.join(keys.select("key", "sharers", (F.col("lo") != F.col("hi")).alias("mixed")), "key"), "shared")
     mixed = shared.filter("mixed")
-    kinds = mixed.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "first")).alias("speaker"))
+    kinds = mixed.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*ROW, "first")).alias("speaker"))
     told = mixed.join(cut(kinds, "kinds"), ["key", "content"])
-    plain = ["doc_id", "first", "n", "off", "key", "sharers"]
+    plain = [*ROW, "first", "n", "off", "key", "sharers"]
     return shared.filter("not mixed").select(*plain, F.lit(True).alias("whole"), F.lit(False).alias("open")).unionByName(
-        told.select(*plain, (F.col("copies") > 1).alias("whole"), (F.struct("doc_id", "first") == F.col("speaker")).alias("open"))
+        told.select(*plain, (F.col("copies") > 1).alias("whole"), (F.struct(*ROW, "first") == F.col("speaker")).alias("open"))
     )
 
 
 def _lists(runs: DataFrame) -> DataFrame:
-    """A row for each document, with its runs: as many at most as its text has bytes."""
-    return runs.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"), F.collect_list("off").alias("off"), F.collect_list("key").alias("key"), F.collect_list("large").alias("large"))
+    """A row for each document, with its runs: as many at most as its text has bytes, however many rows are equal to it."""
+    columns = ["first", "n", "off", "key", "large"]
+    return runs.groupBy(*ROW).agg(F.collect_set(F.struct(*columns)).alias("runs")).select(*ROW, *(F.col(f"runs.{c}").alias(c) for c in columns))
 
 
-def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, zip]]:
+def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bytes, zip]]:
     d = zstandard.ZstdDecompressor()
     for batch in batches:
         columns = [batch.column(c) for c in range(batch.num_columns)]
         for i in range(batch.num_rows):
-            yield columns[0][i].as_py(), d.decompress(columns[1][i].as_py()), zip(*(c[i].as_py() for c in columns[2:7]), strict=True)
+            yield (columns[0][i].as_py(), columns[1][i].as_py()), d.decompress(columns[2][i].as_py()), zip(*(c[i].as_py() for c in columns[3:8]), strict=True)
 
 
 def _fine(length: int):
@@ -184,7 +189,7 @@ def _fine(length: int):
                     block = o // FINE
                     share = raw[anchor - block * FINE : anchor - block * FINE - FINE + 1 + length]
                     a, b = anchor - top, anchor - o
-                    rows.append((doc, a, b - a + 1, top, _signed(h(share, (key ^ block * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)), _signed(h(raw[a : b + length], top - o))))
+                    rows.append((*doc, a, b - a + 1, top, _signed(h(share, (key ^ block * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)), _signed(h(raw[a : b + length], top - o))))
                     o = top + 1
             if len(rows) >= 20_000:
                 yield _table(rows)
@@ -195,9 +200,9 @@ def _fine(length: int):
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "first", "n", "off", "key", "content"])
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_RUN_NAMES)
 
 
 def _strings(length: int):
@@ -208,9 +213,9 @@ def _strings(length: int):
         for doc, raw, runs in _with_texts(batches):
             for first, n, _, key, large in runs:
                 if large:
-                    rows += [(doc, p, 1, key, xxhash.xxh3_128_digest(raw[p : p + length])) for p in range(first, first + n)]
+                    rows += [(*doc, p, 1, key, xxhash.xxh3_128_digest(raw[p : p + length])) for p in range(first, first + n)]
                 else:
-                    rows.append((doc, first, n, key, raw[first : first + n - 1 + length]))
+                    rows.append((*doc, first, n, key, raw[first : first + n - 1 + length]))
             if len(rows) >= 5_000:
                 yield _bytes(rows)
                 rows = []
@@ -220,35 +225,34 @@ def _strings(length: int):
 
 
 def _bytes(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "first", "n", "key", "bytes"])
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*ROW, "first", "n", "key", "bytes"])
 
 
 def _sorted(length: int):
     """Rows in order of key. Keys are gathered into blocks of text, of which each is sorted; a key's runs stay in one block."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        base = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows])))
-        counts = np.array([r[2] for r in rows])
+        rid, th, first, counts = (np.array([r[c] for r in rows]) for c in range(4))
+        text = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        base = np.concatenate(([0], np.cumsum([len(r[5]) for r in rows])))
         owner = np.repeat(np.arange(len(rows)), counts)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         found = np.sort(repeated_starts(text, base[owner] + inner, length))
         who = np.searchsorted(base, found, "right") - 1
-        docs = np.array([r[0] for r in rows])[who]
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.array([r[1] for r in rows])[who] + found - base[who], pa.int32()), pa.array(np.ones(len(who)), pa.int32())], names=["doc_id", "first", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(rid[who]), pa.array(th[who]), pa.array(first[who] + found - base[who], pa.int32()), pa.array(np.ones(len(who)), pa.int32())], names=[*ROW, "first", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if held >= BLOCK_BYTES and rows[-1][3] != r[3]:
+            for r in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if held >= BLOCK_BYTES and rows[-1][4] != r[4]:
                     yield solve(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[4])
+                held += len(r[5])
         if rows:
             yield solve(rows)
 
@@ -256,22 +260,22 @@ def _sorted(length: int):
 
 
 def repeats(docs: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    """(doc_id, first, n): runs of starts of ``length``-byte strings that also start elsewhere. ``packed`` has the documents' compressed texts."""
+    """(rid, th, first, n): runs of starts of ``length``-byte strings that also start elsewhere. ``packed`` has the documents' compressed texts."""
     core = max(GRAM, length * 9 // 25)
     n = width(docs.sparkSession)
     coarse = settle(cut(docs.mapInArrow(_coarse(length, core), _RUN), "runs"))
     coarse = cut(coarse.withColumn("large", F.lit(False)), "coarse")
-    parts = packed.join(_lists(coarse.filter("open")), "doc_id").select("doc_id", "packed", "first", "n", "off", "key", "large")
+    parts = packed.join(_lists(coarse.filter("open")), ROW).select(*ROW, "packed", "first", "n", "off", "key", "large")
     fine = settle(cut(parts.mapInArrow(_fine(length), _RUN), "parts"))
     fine = cut(fine.withColumn("large", F.col("sharers") > MOST_SORTED), "fine")
-    strings = packed.join(_lists(fine.filter("open")), "doc_id").select("doc_id", "packed", "first", "n", "off", "key", "large")
-    strings = cut(strings.mapInArrow(_strings(length), "doc_id bigint, first int, n int, key bigint, bytes binary").withColumn("hashed", F.octet_length("bytes") == 16), "strings")
-    in_order = strings.filter("not hashed").select("doc_id", "first", "n", "key", "bytes").repartition(n, "key").sortWithinPartitions("key")
-    by_sort = in_order.mapInArrow(_sorted(length), "doc_id bigint, first int, n int")
+    strings = packed.join(_lists(fine.filter("open")), ROW).select(*ROW, "packed", "first", "n", "off", "key", "large")
+    strings = cut(strings.mapInArrow(_strings(length), f"{_ROW_KIND}, first int, n int, key bigint, bytes binary").withColumn("hashed", F.octet_length("bytes") == 16), "strings")
+    in_order = strings.filter("not hashed").select(*ROW, "first", "n", "key", "bytes").repartition(n, "key").sortWithinPartitions("key")
+    by_sort = in_order.mapInArrow(_sorted(length), f"{_ROW_KIND}, first int, n int")
     hashes = strings.filter("hashed")
     twice = hashes.groupBy("key", "bytes").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    by_hash = hashes.join(twice, ["key", "bytes"], "left_semi").select("doc_id", "first", "n")
-    plain = ["doc_id", "first", "n"]
+    by_hash = hashes.join(twice, ["key", "bytes"], "left_semi").select(*ROW, "first", "n")
+    plain = [*ROW, "first", "n"]
     # what stands for equal runs also answers for them
     open_fine = fine.filter("whole").select(*plain)
     return coarse.filter("whole").select(*plain).unionByName(open_fine).unionByName(by_sort).unionByName(by_hash)
@@ -293,26 +297,28 @@ def _remove(length: int, with_text: bool):
                     gone = np.cumsum(gone[: len(raw)]) > 0
                     left = np.frombuffer(raw, np.uint8)[~gone].tobytes() if first else raw
                     edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    rows.append((doc, len(raw), len(raw) - len(left), len(edge) // 2, hashlib.sha256(left).hexdigest(), *((left.decode("utf-8", "ignore"), edge[::2].tolist(), edge[1::2].tolist()) if with_text else ())))
+                    rows.append((doc, len(raw), len(raw) - len(left), len(edge) // 2, hashlib.sha256(left).hexdigest(), len(left) < len(raw), *((left.decode("utf-8", "ignore"), edge[::2].tolist(), edge[1::2].tolist()) if with_text else ())))
                 columns = list(zip(*rows, strict=True))
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "span_starts", "span_ends"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed", "kept", "span_starts", "span_ends"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, span_starts, span_ends]): each text, as UTF-8 bytes, without every byte that a
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed[, kept, span_starts, span_ends]): each text, as UTF-8 bytes, without every byte that a
     ``length``-byte string covers which starts at two places or more, the same document included.
 
     Strings never cross documents and are judged on the input. ``kept`` leaves out bytes of characters that were cut in two; the hash is of all bytes left.
-    Null and empty texts have no bytes. Ids must be unique; rows without one lose nothing and count for nothing. ``length`` must be at least 64, so that anchors are sparse.
+    A row for each row, with ids or without, and ids may come again: each row counts by itself, so a text of ``length`` bytes that two rows have goes from both.
+    Null and empty texts have no bytes, and an empty table gives an empty one. Other columns of ``docs`` aren't read. ``length`` must be at least 64, so that anchors are sparse.
     """
     if length < 64:
         raise ValueError("length must be at least 64")
-    texts = id_text(docs, id_col, text_col)
-    packed = texts.mapInArrow(_pack, "doc_id bigint, packed binary")
-    found = repeats(texts.filter("doc_id is not null"), packed, length).groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string, span_starts array<bigint>, span_ends array<bigint>" * with_text
-    return packed.join(found, "doc_id", "left").select("doc_id", "packed", "first", "n").mapInArrow(_remove(length, with_text), schema)
+    texts = keyed(docs, id_col, text_col)
+    packed = texts.select("doc_id", *ROW, "text").mapInArrow(_pack, f"doc_id bigint, {_ROW_KIND}, packed binary")
+    found = repeats(texts.select(*ROW, "text"), packed, length).groupBy(*ROW).agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    found = found.select(*ROW, F.col("runs.first").alias("first"), F.col("runs.n").alias("n"))
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, changed boolean" + ", kept string, span_starts array<bigint>, span_ends array<bigint>" * with_text
+    return packed.join(found, ROW, "left").select("doc_id", "packed", "first", "n").mapInArrow(_remove(length, with_text), schema)

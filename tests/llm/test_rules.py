@@ -123,6 +123,30 @@ def test_decontamination(spark, block_bytes):
     assert decontaminate.scan(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_keeps_rows_of_one_id_apart(spark):
+    """One block of items or ten: a row for each row, whatever the ids."""
+    r = random.Random(6)
+    vocabulary = ["a", "B", "ab", "é", "x1", "zz", "q"]
+    some = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i % 15, some(12)) for i in range(20)]
+    rows = [(r.choice([None, 1, 2, 3]), t, "x") for t in [some(4) + " " + x[1] + " " + some(3) for x in items] + [None, "", "a", some(12), some(12)] * 2]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, scanned string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string").repartition(2)
+    told = []
+    for block_bytes in (1 << 20, 40):
+        n_blocks = len(list(decontaminate.item_blocks(benchmark, block_bytes=block_bytes)))
+        assert n_blocks == 1 if block_bytes > 40 else n_blocks >= 10
+        out = decontaminate.scan(docs, benchmark, block_bytes=block_bytes)
+        told.append(sorted(map(repr, out.collect())))
+        left = decontaminate.decontaminate(docs, benchmark, block_bytes=block_bytes)
+        assert left.columns == docs.columns
+        told.append(sorted(repr(tuple(x)) for x in left.collect()))
+    assert told[0] == told[2] and told[1] == told[3] and len(told[0]) == len(rows)
+    windows = {tuple(words_of(t)[k : k + 10]) for _, t in items for k in range(3)}
+    clean = [x for x in rows if not any(tuple(w[k : k + 10]) in windows for w in [words_of(x[1])] for k in range(len(w)))]
+    assert told[1] == sorted(map(repr, clean)) and 0 < len(clean) < len(rows)
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
