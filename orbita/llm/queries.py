@@ -147,8 +147,8 @@ FROM documents d JOIN c ON c.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
     "op5_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents),
 t AS (SELECT *, {_TRIMMED} AS norm FROM l),
-f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line_no) AS rn FROM t WHERE length(norm) >= 32),
-u AS (SELECT doc_id, line_no, norm, length(norm) AS n FROM f WHERE rn = 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line_no) AS rn FROM t WHERE length(norm) >= 1),
+u AS (SELECT doc_id, line_no, norm, length(norm) AS n FROM f WHERE rn = 1 AND length(norm) >= 32),
 p AS (SELECT x.norm AS a, y.norm AS b, x.n AS na, y.n AS nb, x.doc_id, x.line_no FROM u x JOIN u y ON left(x.norm, 16) = left(y.norm, 16) AND abs(x.n - y.n) <= 1 AND (y.doc_id, y.line_no) < (x.doc_id, x.line_no)
   UNION SELECT x.norm, y.norm, x.n, y.n, x.doc_id, x.line_no FROM u x JOIN u y ON right(x.norm, 16) = right(y.norm, 16) AND abs(x.n - y.n) <= 1 AND (y.doc_id, y.line_no) < (x.doc_id, x.line_no)),
 g AS (SELECT DISTINCT a AS norm FROM p WHERE

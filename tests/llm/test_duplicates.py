@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import pytest
 
 from orbita.llm import line_dedup, lsh_forest, sharding, suffix_dedup
 from orbita.llm.bytes_np import shingle_sets, utf8
+from orbita.llm.shared import keyed
 
 WHITE = "\t\n\x0b\x0c\r "
 
@@ -134,32 +136,66 @@ def within_one(a, b):
     return a[p + 1 :] == b[p + (len(a) == len(b)) :]
 
 
-def test_line_dedup(spark):
+def lines_left(rows, exact_from=1, near_from=32):
+    """(doc_id, n_lines, n_dropped, n_near, kept) of each row, and how many first lines were near an earlier one. Rows in order of time."""
+    lines = [(r, k, s) for r, (_, t) in enumerate(rows) for k, raw in enumerate((t or "").split("\n")) if len(s := raw.strip(WHITE)) >= exact_from]
+    first = {}
+    for r, k, s in lines:
+        first.setdefault(s, (r, k))
+    long = {s: at for s, at in first.items() if len(s) >= near_from}
+    near = {s for s, at in long.items() if any(there < at and within_one(s, other) for other, there in long.items())}
+    gone = {(r, k) for r, k, s in lines if s in near or first[s] != (r, k)}
+    out = []
+    for r, (i, t) in enumerate(rows):
+        parts = (t or "").split("\n")
+        keep = [p for k, p in enumerate(parts) if (r, k) not in gone]
+        out.append((i, len(parts), len(parts) - len(keep), sum(first[s][0] == r for s in near), "\n".join(keep)))
+    return out, len(near)
+
+
+@pytest.mark.parametrize("exact_from, near_from, short", [(1, 32, 28), (32, 32, 28), (1, 1, 1), (5, 20, 10)])
+def test_line_dedup(spark, exact_from, near_from, short):
     r = random.Random(5)
-    base = ["".join(r.choice("abcé ") for _ in range(r.randint(28, 90))) for _ in range(30)]
+    base = ["".join(r.choice("abcé ") for _ in range(r.randint(short, 90))) for _ in range(30)] + ["".join(r.choice("abcé ") for _ in range(n)) for n in (300, 801, 2000)]
 
     def edit(s):
         p, kind = r.randrange(len(s)), r.randrange(4)
         return s if kind == 0 else s[:p] + r.choice("xyzé") + s[p + (kind > 1) :] if kind < 3 else s[:p] + s[p + 1 :]
 
-    rows = [(i, "\n".join(edit(r.choice(base)) if r.random() < 0.8 else edit(edit(r.choice(base))) for _ in range(r.randint(0, 6)))) for i in range(150)]
-    rows += [(900, None), (901, ""), (902, "\n\n"), (903, "x" * 5000), (904, "x" * 4999), (905, "\n".join(["y" * 40] * 300))]
-    lines = [(i, k, s) for i, t in rows for k, raw in enumerate((t or "").split("\n")) if len(s := raw.strip(WHITE)) >= line_dedup.MIN_CHARS]
-    first = {}
-    for i, k, s in lines:
-        first.setdefault(s, (i, k))
-    near = {s for s, at in first.items() if any(there < at and within_one(s, other) for other, there in first.items())}
-    gone = {(i, k) for i, k, s in lines if s in near or first[s] != (i, k)}
-    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    for i, t in rows:
-        parts = (t or "").split("\n")
-        keep = [p for k, p in enumerate(parts) if (i, k) not in gone]
-        assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept"]) == (len(parts), len(parts) - len(keep), "\n".join(keep)), i
-    assert sum(x["n_near"] for x in got.values()) == len(near) > 20
+    rows = [(i, "\n".join(edit(r.choice(base)) if r.random() < 0.8 else edit(edit(r.choice(base)) + "x") for _ in range(r.randint(0, 6)))) for i in range(150)]
+    rows += [(900, None), (901, ""), (902, "\n\n"), (903, "x" * 5000), (904, "x" * 4999), (905, "x" * 2000 + "y" + "x" * 2999), (906, "x" * 2000 + "y" + "x" * 2998), (907, "xy" * 300), (908, "xy" * 299 + "x"), (909, "yx" * 300), (910, "\n".join(["y" * 40] * 300))]
+    want, n_near = lines_left(rows, exact_from, near_from)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), exact_from=exact_from, near_from=near_from).collect()
+    assert sorted(map(tuple, got)) == want and n_near > 20
+
+
+def test_line_dedup_of_rows_that_share_ids(spark):
+    """Rows of one id are documents of their own, in order of a hash of their texts; those without an id come last."""
+    r = random.Random(6)
+    base = ["".join(r.choice("abcd ") for _ in range(40)) for _ in range(8)]
+    rows = [(r.choice([0, 1, 1, 1, 2, None, None]), "\n".join(r.choice(base) + r.choice(["", "", "x"]) for _ in range(3)) + f"\n{k}") for k in range(40)]
+    rows += [(0, "L" * 40), (1, "L" * 40 + "\nab"), (1, "U" * 40 + "\nzz"), (None, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    order = sorted(keyed(df).collect(), key=lambda x: (x["rid"], x["th"]))
+    want, _ = lines_left([(x["doc_id"], x["text"]) for x in order])
+    assert sorted(map(repr, map(tuple, line_dedup.dedup_lines(df).collect()))) == sorted(map(repr, want))
+    twice = df.unionByName(df)  # rows equal in id and text count as one
+    assert sorted(map(repr, map(tuple, line_dedup.dedup_lines(twice).collect()))) == sorted(map(repr, want + want))
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh ", "=", "ab"])
+def test_line_dedup_of_very_long_lines(spark, letters):
+    """Lines of 300,000 characters, one edit apart; the time is that of the jobs."""
+    r = random.Random(1)
+    line = "[" + "".join(r.choice(letters) for _ in range(300_000)) + "]"
+    rows = [(1, line), (2, line[:200_000] + "X" + line[200_001:]), (3, line[:10] + line[11:]), (4, line[:10] + "YY" + line[12:])]
+    began = time.time()
+    got = {x["doc_id"]: (x["n_dropped"], x["n_near"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (1, 1), 4: (0, 0)} and time.time() - began < 60
 
 
 def test_line_dedup_keeps_other_columns(spark):
-    df = spark.createDataFrame([(1, "z" * 50, "p", None), (2, "z" * 50, None, "w"), (3, None, "g", "g")], "doc_id bigint, text string, gone string, line_no string")
+    df = spark.createDataFrame([(1, "z" * 50, "p", None), (2, "z" * 50, None, "w"), (3, None, "g", "g")], "doc_id bigint, text string, gone string, rid string")
     got = line_dedup.without_repeated_lines(df)
     assert got.columns == df.columns
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "z" * 50, 2: "", 3: None}
