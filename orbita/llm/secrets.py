@@ -1,10 +1,11 @@
 """Secret scans in DataFrame functions only: patterns, and a battery of randomness tests under a bound on false discoveries.
 
 Patterns give the base spans. The battery looks at every other run of 20 characters or more from the base64 alphabets. It infers the encoding
-from the characters that occur, and tests for that alphabet whether the symbols are uniform (chi-squared), whether they alternate between the
-alphabet's halves as chance does (runs), and whether neighbours are uncorrelated. A run that passes is random for its encoding, but so are
-some words. So each run also gets the probability that ordinary text has as few coincident pairs of characters. Benjamini and
-Hochberg's procedure over all runs of the corpus, apart for each class of length, sets how small that must be.
+from the characters that occur, and makes three tests for it: whether the symbols are uniform (chi-squared), whether kinds of symbols change as often as
+chance has it (runs), and whether neighbours depend on each other (serial correlation). Each test is read in two ways. Against chance, a run must not be rejected at
+ALPHA_Z. Against ordinary text, each gives a standard score: text has more coincident symbols, fewer changes of kind (upper, lower, digit, sign), and more changes
+between vowels and consonants, than chance has. The mean of the three scores gives the probability that text looks so random. Benjamini and
+Hochberg's procedure over those probabilities of all runs of the corpus, apart for each class of length, sets how small one must be.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ FALSE_DISCOVERIES = 0.05
 ALPHA_Z = 3.09  # one in a thousand
 #: Sums of squares and cubes of the frequencies of letters in text.
 TEXT_SQUARES, TEXT_CUBES = 0.0667, 0.0056
+#: Share of neighbours in text that change kind, at most (names in camel case and with digits have many), and share of neighbouring letters of which one is a vowel, at least.
+TEXT_CHANGES, TEXT_VOWELS = 0.25, 0.55
+#: Pairs of letters without which vowels tell nothing.
+LEAST_PAIRS = 4
 BINS_PER_DECADE = 8
 MOST_BIN = 2400
 
@@ -71,54 +76,54 @@ def _with_spans(df: DataFrame, name: str, pattern: str, group: int = 0) -> DataF
     return df.withColumn(name, F.coalesce(F.expr(spans), F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)"))).drop("__gap", "__all", "__val", "__len", "__sum")
 
 
-def _scored() -> list[tuple[str, str]]:
-    """Successive SQL steps over the array ``runs`` of (s, e, v)."""
+def _pairs(array: str, step: str) -> str:
+    """SQL for the sum of ``step`` over the neighbours x, y of an array."""
+    return f"aggregate(zip_with(slice({array}, 1, size({array}) - 1), slice({array}, 2, size({array}) - 1), (x, y) -> {step}), 0D, (a, x) -> a + x)"
+
+
+def _scored() -> list[str]:
+    """Successive SQL steps over each r of the array of (s, e, v). The characters of a run are taken apart once, so that work grows with its length."""
     alphabet = "case " + " ".join(f"when r.v rlike '{p}' then '{a}'" for p, a in _ENCODINGS) + f" else '{_ANY}' end"
     count = "(length({0}) - length(replace({0}, substring({1}, i, 1), '')))"
     squares = "aggregate(sequence(1, length({1})), 0D, (a, i) -> a + pow(" + count + ", 2))"
-    z = "(pow(r.chi / (r.k - 1), 1D / 3) - (1 - 2D / (9 * (r.k - 1)))) / sqrt(2D / (9 * (r.k - 1)))"
-    mean = "aggregate(r.codes, 0D, (a, x) -> a + x) / r.n"
-    x = "abs(r.ztext)"
-    t = f"(1 / (1 + 0.2316419D * {x}))"
-    tail = f"(exp(-{x} * {x} / 2) / 2.5066282746D * {t} * (0.31938153D + {t} * (-0.356563782D + {t} * (1.781477937D + {t} * (-1.821255978D + {t} * 1.330274429D)))))"
-    log = f"if(r.ztext >= 0, 0D, if({x} > 30, {x} * {x} / 2 * {math.log10(math.e)}, -log10({tail})))"
+    kind = "case when c between 'a' and 'z' then 1 when c between 'A' and 'Z' then 2 when c between '0' and '9' then 3 else 4 end"
+    sound = "case when instr('aeiouAEIOU', c) > 0 then 1 when c between 'a' and 'z' or c between 'A' and 'Z' then 2 else 0 end"
     keep = "'s', r.s, 'e', r.e, 'n', r.n"
+    half = "if((2 * x >= r.k) <> (2 * y >= r.k), 1D, 0D)"
+    product = "(x - r.m) * (y - r.m)"
+    zchi = "(pow(r.chi / (r.k - 1), 1D / 3) - (1 - 2D / (9 * (r.k - 1)))) / sqrt(2D / (9 * (r.k - 1)))"
+    pairs = "r.n * (r.n - 1D)"
+    t1 = f"({pairs} / 2 * {TEXT_SQUARES} - r.same) / sqrt({pairs} / 2 * {TEXT_SQUARES * (1 - TEXT_SQUARES)} + {pairs} * (r.n - 2) * {TEXT_CUBES - TEXT_SQUARES**2})"
+    t2 = f"(r.changes - {TEXT_CHANGES}D * (r.n - 1)) / sqrt({TEXT_CHANGES * (1 - TEXT_CHANGES)}D * (r.n - 1))"
+    t3 = f"if(r.letters < {LEAST_PAIRS}, 0D, ({TEXT_VOWELS}D * r.letters - r.turns) / sqrt({TEXT_VOWELS * (1 - TEXT_VOWELS)}D * greatest(r.letters, 1)))"
+    t = "(1 / (1 + 0.2316419D * r.z))"
+    tail = f"(exp(-r.z * r.z / 2) / 2.5066282746D * {t} * (0.31938153D + {t} * (-0.356563782D + {t} * (1.781477937D + {t} * (-1.821255978D + {t} * 1.330274429D)))))"
+    log = f"if(r.z <= 0, 0D, if(r.z > 30, r.z * r.z / 2 * {math.log10(math.e)}, -log10({tail})))"
     return [
-        (f"named_struct('s', r.s, 'e', r.e, 'v', r.v, 'n', length(r.v), 'alpha', {alphabet})", "runs"),
-        (
-            f"named_struct({keep}, 'k', length(r.alpha), 'codes', transform(sequence(1, r.n), i -> instr(r.alpha, substring(r.v, i, 1)) - 1), "
-            f"'chi', length(r.alpha) * {squares.format('r.v', 'r.alpha')} / r.n - r.n, 'same', ({squares.format('lower(r.v)', repr(_DIGITS + _LOW + '+/-_='))} - r.n) / 2)",
-            "runs",
-        ),
-        (
-            f"named_struct({keep}, 'zchi', {z}, 'codes', r.codes, 'm', {mean}, 'k', r.k, "
-            f"'ztext', (r.same - r.n * (r.n - 1D) / 2D * {TEXT_SQUARES}) / sqrt(r.n * (r.n - 1D) / 2D * {TEXT_SQUARES * (1 - TEXT_SQUARES)} + r.n * (r.n - 1D) * (r.n - 2D) * {TEXT_CUBES - TEXT_SQUARES**2}))",
-            "runs",
-        ),
-        (
-            f"named_struct({keep}, 'zchi', r.zchi, 'p', {log}, "
-            "'zruns', (aggregate(sequence(1, r.n - 1), 0D, (a, i) -> a + if((2 * get(r.codes, i) >= r.k) <> (2 * get(r.codes, i - 1) >= r.k), 1, 0)) - (r.n - 1) / 2D) / sqrt((r.n - 1) / 4D), "
-            "'zserial', coalesce(try_divide(aggregate(sequence(1, r.n - 1), 0D, (a, i) -> a + (get(r.codes, i) - r.m) * (get(r.codes, i - 1) - r.m)), aggregate(r.codes, 0D, (a, x) -> a + pow(x - r.m, 2))), 1D) * sqrt(r.n))",
-            "runs",
-        ),
-        (
-            f"named_struct({keep}, 'class', cast(floor(log2(r.n)) as int), 'bin', cast(least(floor(r.p * {BINS_PER_DECADE}), {MOST_BIN}) as int), 'random', r.zchi <= {ALPHA_Z} and abs(r.zruns) <= {ALPHA_Z + 0.2} and abs(r.zserial) <= {ALPHA_Z + 0.2})",
-            "runs",
-        ),
+        f"named_struct('s', r.s, 'e', r.e, 'v', r.v, 'n', length(r.v), 'alpha', {alphabet}, 'chars', slice(split(r.v, ''), 1, length(r.v)))",
+        f"named_struct({keep}, 'k', length(r.alpha), 'codes', transform(r.chars, c -> instr(r.alpha, c) - 1D), 'kinds', transform(r.chars, c -> {kind}), 'sounds', transform(r.chars, c -> {sound}), "
+        f"'chi', length(r.alpha) * {squares.format('r.v', 'r.alpha')} / r.n - r.n, 'same', ({squares.format('lower(r.v)', repr(_DIGITS + _LOW + '+/-_='))} - r.n) / 2)",
+        f"named_struct({keep}, 'k', r.k, 'codes', r.codes, 'zchi', {zchi}, 'same', r.same, 'm', aggregate(r.codes, 0D, (a, x) -> a + x) / r.n, "
+        f"'changes', {_pairs('r.kinds', 'if(x <> y, 1D, 0D)')}, 'letters', {_pairs('r.sounds', 'if(x > 0 and y > 0, 1D, 0D)')}, 'turns', {_pairs('r.sounds', 'if(x > 0 and y > 0 and x <> y, 1D, 0D)')})",
+        f"named_struct({keep}, 'zchi', r.zchi, 'z', ({t1} + {t2} + {t3}) / sqrt(3D), 'zruns', ({_pairs('r.codes', half)} - (r.n - 1) / 2D) / sqrt((r.n - 1) / 4D), "
+        f"'zserial', coalesce(try_divide({_pairs('r.codes', product)}, aggregate(r.codes, 0D, (a, x) -> a + pow(x - r.m, 2))), 1D) * sqrt(r.n))",
+        f"named_struct({keep}, 'zchi', r.zchi, 'zruns', r.zruns, 'zserial', r.zserial, 'p', {log})",
+        f"named_struct({keep}, 'class', cast(floor(log2(r.n)) as int), 'bin', cast(least(floor(r.p * {BINS_PER_DECADE}), {MOST_BIN}) as int), "
+        f"'random', r.zchi <= {ALPHA_Z} and abs(r.zruns) <= {ALPHA_Z + 0.2} and abs(r.zserial) <= {ALPHA_Z + 0.2})",
     ]
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, runs): base spans (s, e, kind's number), and the other runs with the class of their length, the bin of their probability as text, and whether they pass as random."""
-    df = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own: Column | None = None) -> DataFrame:
+    """(doc_id, own, base, runs): base spans (s, e, kind's number), and the other runs with the class of their length, the bin of their probability as text, and whether they pass as random."""
+    df = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), (F.lit(None).cast("string") if own is None else own).alias("own"))
     df = _with_spans(df, "assign", ASSIGN, 2)
     for name, pattern in (("access", ACCESS), ("hex", HEX), ("runs", RUN)):
         df = _with_spans(df, name, pattern)
     base = "concat(transform(filter(assign, x -> length(x.v) >= 12), x -> struct(x.s, x.e, 0 as kind)), transform(access, x -> struct(x.s, x.e, 1 as kind)), transform(hex, x -> struct(x.s, x.e, 2 as kind)))"
-    df = df.select("doc_id", F.array_sort(F.expr(f"transform({base}, x -> named_struct('s', x.s, 'kind', x.kind, 'e', x.e))")).alias("base"), "runs")
+    df = df.select("doc_id", "own", F.array_sort(F.expr(f"transform({base}, x -> named_struct('s', x.s, 'kind', x.kind, 'e', x.e))")).alias("base"), "runs")
     df = df.withColumn("runs", F.when(F.size("runs") > 0, F.expr("filter(runs, r -> not exists(base, b -> r.s < b.e and b.s < r.e))")).otherwise(F.col("runs")))
-    for step, name in _scored():
-        df = df.withColumn(name, F.expr(f"transform({name}, r -> {step})"))
+    for step in _scored():
+        df = df.withColumn("runs", F.expr(f"transform(runs, r -> {step})"))
     return df
 
 
@@ -135,14 +140,23 @@ def scan_secrets(docs: DataFrame, q: float = FALSE_DISCOVERIES, id_col: str = "d
     """(doc_id, base, spans): arrays of (s, kind, e), kind as a number of KINDS, by start, then kind; offsets in code points, ends exclusive.
 
     ``spans`` are the base spans, all of them, and those runs apart from base spans that pass as random and are discoveries. Null text is empty
-    and has none. Repeated ids keep a row each.
+    and has none. A row for each row, each from its own text: ids may be null or come again. An empty table gives an empty one. Other columns of ``docs`` aren't read.
     """
-    rows = cut(measured(docs, id_col, text_col), "runs")
-    least = thresholds(rows, q)
+    rows, least = _found(docs, q, id_col, text_col)
+    return rows.select("doc_id", "base", _spans(least).alias("spans"))
+
+
+def _found(docs: DataFrame, q: float, id_col: str, text_col: str, own: Column | None = None) -> tuple[DataFrame, dict[int, int]]:
+    rows = cut(measured(docs, id_col, text_col, own), "runs")
+    return rows, thresholds(rows, q)
+
+
+def _spans(least: dict[int, int]) -> Column:
+    """Base spans and discoveries of a row of :func:`measured`."""
     bound: Column = F.create_map(*(F.lit(x) for pair in (least or {-1: 0}).items() for x in pair))
     found = F.filter("runs", lambda r: r["random"] & F.coalesce(r["bin"] >= bound[r["class"]], F.lit(False)))
     extra = F.transform(found, lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("kind"), r["e"].alias("e")))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    return F.array_sort(F.concat("base", extra))
 
 
 def joined(spans: str) -> Column:
@@ -152,9 +166,8 @@ def joined(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): texts with every span, or run of overlapping spans, replaced by ``mask``. Ids must be unique."""
-    spans = scan_secrets(docs, id_col=id_col, text_col=text_col).filter(F.size("spans") > 0).select("doc_id", "spans")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text): texts with every span, or run of overlapping spans, replaced by ``mask``. A row for each row, whatever the ids; null stays null."""
+    rows, least = _found(docs, FALSE_DISCOVERIES, id_col, text_col, F.col(f"`{text_col}`").cast("string"))
     step = """aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out),
         named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), :mask))), a -> concat(a.out, substring(text, a.at + 1)))"""
-    return texts.join(spans, "doc_id", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(step.replace(":mask", repr(mask)))).alias("text"))
+    return rows.select("doc_id", F.col("own").alias("text"), _spans(least).alias("spans")).select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.expr(step.replace(":mask", repr(mask)))).alias("text"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
+import string
+import time
 from collections import Counter
 
 import pytest
@@ -75,6 +79,9 @@ def test_secrets(spark):
     for x in secrets.scan_secrets(df).select("doc_id", secrets.joined("base").alias("base"), secrets.joined("spans").alias("spans")).collect():
         want = base_spans(dict(rows)[x["doc_id"]])
         assert x["base"] == want and set(filter(None, want.split(","))) <= set(x["spans"].split(","))
+    whole = scan_by_hand(dict(rows))
+    for x in secrets.scan_secrets(df).select("doc_id", secrets.joined("spans").alias("spans")).collect():
+        assert x["spans"] == whole[x["doc_id"]]
     keys = [(i, "plain words and " + base64.b64encode(r.randbytes(48)).decode() + " then more") for i in range(50)]
     words = [(100 + i, "plain wordsthatruntogetherwithoutanyspacesatall and aThingNamedLikeThisOneHereInCode") for i in range(50)]
     found = {x["doc_id"] for x in secrets.scan_secrets(spark.createDataFrame(keys + words, "doc_id bigint, text string")).filter(F.size("spans") > 0).collect()}
@@ -83,6 +90,75 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def scan_by_hand(texts):
+    """All spans of each text, by the module's definition, without its code."""
+    letters = string.ascii_uppercase + string.ascii_lowercase + string.digits
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = [dig, dig + "abcdef", dig + "ABCDEF", low, up, up + "234567", dig + low, dig + up, letters, letters + "+/", letters + "-_", letters + "+/-_="]
+    runs = []
+    for i, text in texts.items():
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text).split(",") if x]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+            if any(m.start() < e and s < m.end() for s, e in taken):
+                continue
+            v, n = m[0], m.end() - m.start()
+            alphabet = next(a for a in alphabets if set(v) <= set(a))
+            k, codes = len(alphabet), [alphabet.index(c) for c in v]
+            chi = k * sum(c * c for c in Counter(v).values()) / n - n
+            zchi = (math.cbrt(chi / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+            zruns = (sum((2 * a >= k) != (2 * b >= k) for a, b in itertools.pairwise(codes)) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+            mean = sum(codes) / n
+            spread = sum((c - mean) ** 2 for c in codes)
+            zserial = (sum((a - mean) * (b - mean) for a, b in itertools.pairwise(codes)) / spread if spread else 1) * math.sqrt(n)
+            same = (sum(c * c for c in Counter(v.lower()).values()) - n) / 2
+            t1 = (n * (n - 1) / 2 * 0.0667 - same) / math.sqrt(n * (n - 1) / 2 * 0.0667 * 0.9333 + n * (n - 1) * (n - 2) * (0.0056 - 0.0667**2))
+            kinds = ["a" if c in low else "A" if c in up else "0" if c in dig else "." for c in v]
+            t2 = (sum(a != b for a, b in itertools.pairwise(kinds)) - 0.25 * (n - 1)) / math.sqrt(0.1875 * (n - 1))
+            both = [(a in "aeiou", b in "aeiou") for a, b in itertools.pairwise(v.lower()) if a in low and b in low]
+            t3 = (0.55 * len(both) - sum(a != b for a, b in both)) / math.sqrt(0.2475 * len(both)) if len(both) >= 4 else 0
+            z = (t1 + t2 + t3) / math.sqrt(3)
+            p = 0 if z <= 0 else z * z / 2 * math.log10(math.e) if z > 30 else -math.log10(math.erfc(z / math.sqrt(2)) / 2)
+            runs.append((i, m.start(), m.end(), int(math.log2(n)), min(int(p * 8), 2400), zchi <= 3.09 and abs(zruns) <= 3.29 and abs(zserial) <= 3.29))
+    least = {}
+    for c in {r[3] for r in runs}:
+        bins = [r[4] for r in runs if r[3] == c]
+        good = [b for b in set(bins) if 10 ** (-b / 8) * len(bins) <= 0.05 * sum(x >= b for x in bins)]
+        if good:
+            least[c] = min(good)
+    out = {}
+    for i, text in texts.items():
+        base = [(int(s), ["assign", "access", "hex"].index(k), int(e)) for k, s, e in (x.split(":") for x in base_spans(text).split(",") if x)]
+        base += [(s, 3, e) for j, s, e, c, b, random_ in runs if j == i and random_ and c in least and b >= least[c]]
+        out[i] = ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{s}:{e}" for s, k, e in sorted(base))
+    return out
+
+
+@pytest.mark.parametrize("length, n_keys, least", [(40, 10, 9), (40, 20, 18), (32, 20, 17), (24, 20, 8)])
+def test_keys_among_names(spark, length, n_keys, least):
+    """Bare keys, 1 or 2 in a hundred, among names of words, in camel case, and with numbers."""
+    r = random.Random(length + n_keys)
+    vocabulary = "the user account service token page index value report summary total order customer list item update create delete from with north south annual company press release market".split()
+    rows = []
+    for i in range(1000):
+        w = [r.choice(vocabulary) for _ in range(r.randint(4, 9))]
+        slug = r.choice(["-".join(w), "_".join(w), "".join(x.title() for x in w), "-".join([*w, str(r.randint(1, 9999))]), "/".join(w), "".join(w)])
+        rows.append((i, f"see {slug} for more"))
+    rows += [(5000 + i, "see " + "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(length)) + " for more") for i in range(n_keys)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {x["doc_id"] for x in secrets.scan_secrets(df).filter(F.exists("spans", lambda x: x["kind"] == 3)).collect()}
+    assert len(found & set(range(5000, 5000 + n_keys))) >= least
+    assert len(found & set(range(1000))) <= 0.05 * len(found)
+
+
+def test_very_long_runs(spark):
+    """Work grows with the length of a run."""
+    r = random.Random(4)
+    rows = [(1, "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(1_000_000))), (2, "z" * 1_000_000)]
+    began = time.time()
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 40 and len(got[1]) == 1 and not got[2]
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
