@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbita.llm.shared import cut, id_text, width
+from orbita.llm.shared import cut, id_text
 
 #: Groups that one differencing run holds; runs are combined like groups.
 CHUNK = 1 << 14
+#: Groups to a bucket: so many while buckets are few, and so many at most, which a task holds at once.
+FEW, MOST = 1 << 12, 1 << 18
 
 
 def difference(tuples: list[tuple[int, ...]], k: int) -> tuple[tuple[int, ...], list[list[int]]]:
@@ -51,52 +52,66 @@ def _leaf(size: int, k: int) -> tuple[int, ...]:
 
 
 def _local(k: int):
-    """Parts of the groups of one task: runs of CHUNK groups, then the runs' partial partitions among themselves."""
+    """Parts of the groups of each bucket: runs of CHUNK groups, then the runs' partial partitions among themselves. Rows (bucket, gkey, size) in order of bucket, falling size and key."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = TaskContext.get().partitionId()
-        keys: list[pa.Array] = []
-        sizes: list[np.ndarray] = []
-        for batch in batches:
-            keys.append(batch.column(0))
-            sizes.append(batch.column(1).to_numpy())
-        if not keys:
-            return
-        key, size = pa.chunked_array(keys), np.concatenate(sizes)
-        order = np.argsort(-size, kind="stable")
+    def solve(rows: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(rows)
+        size = table.column(2).to_numpy()
         runs = max(1, -(-len(size) // CHUNK))
         part = np.zeros(len(size), np.int32)
         roots, members = [], []
         for r in range(runs):  # each run gets sizes of the whole range
-            rows = order[r::runs]
-            total, went = difference([_leaf(int(s), k) for s in size[rows]], k)
+            at = np.arange(r, len(size), runs)
+            total, went = difference([_leaf(int(s), k) for s in size[at]], k)
             roots.append(total)
-            members.append(rows)
-            part[rows] = [w[0] for w in went]
-        for rows, w in zip(members, difference(roots, k)[1], strict=True):
-            part[rows] = np.array(w, np.int32)[part[rows]]
-        table = pa.table({"gkey": key, "size": size, "bucket": np.full(len(size), bucket, np.int32), "part": part})
-        yield from table.combine_chunks().to_batches(10_000)
+            members.append(at)
+            part[at] = [w[0] for w in went]
+        for at, w in zip(members, difference(roots, k)[1], strict=True):
+            part[at] = np.array(w, np.int32)[part[at]]
+        return table.append_column("part", pa.array(part)).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and hi > lo and held[-1].column(0)[0] != batch.column(0)[lo]:
+                    yield from solve(held).to_batches(10_000)
+                    held = []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from solve(held).to_batches(10_000)
 
     return run
 
 
+def n_buckets(groups: int) -> int:
+    """Buckets for so many groups: a function of their number alone, so that the shards don't depend on the session."""
+    return max(min(64, -(-groups // FEW)), -(-groups // MOST), 1)
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): documents of equal text share a shard, and the shards' bytes are near equal.
+    """(doc_id, size, text_crc32, shard, slot, grown_shard): documents of equal text share a shard, and the shards' bytes are near equal.
 
-    A document's size is the bytes of its text plus 1. Groups of equal texts are summed before they move, then dealt to ``buckets`` tasks;
-    each task differences its groups into one partial partition of ``shards`` sums, and the driver differences those: ``buckets`` rows of
-    ``shards`` numbers, whatever the number of documents. ``slot`` counts from 0 in each shard without a gap.
+    A document's size is the bytes of its text plus 1. Groups of equal texts are summed before they move, then dealt to ``buckets`` by hash, about MOST groups in one at most;
+    each bucket is differenced into one partial partition of ``shards`` sums, and the driver differences those: ``shards`` numbers for each bucket.
+    ``slot`` counts from 0 in each shard without a gap, and ``grown_shard`` is null.
 
-    Null text is an empty one. Repeated ids are rows of their own. A group larger than a shard's share makes that shard as large as itself.
+    Null text is an empty one. Rows of one id, or of none, are rows of their own. Groups of one size go in order of a hash of their text, so the shards are a function of the
+    texts and of ``buckets``; another number of buckets deals most groups otherwise, for sums as near. A group larger than a shard's share makes that shard as large as itself.
+    An empty table gives an empty one. Other columns of ``docs`` aren't read.
     """
     spark = docs.sparkSession
-    n = buckets or width(spark)
     rows = id_text(docs, id_col, text_col).select(
         "doc_id", (F.octet_length("text").cast("bigint") + 1).alias("size"), F.crc32("text").alias("text_crc32"), F.unhex(F.md5("text")).alias("gkey")
     )
-    groups = rows.groupBy("gkey").agg(F.sum("size").alias("size"))
-    local = cut(groups.repartition(n, "gkey").mapInArrow(_local(shards), "gkey binary, size bigint, bucket int, part int"), "groups")
+    groups = cut(rows.groupBy("gkey").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("copies")), "sizes")
+    held = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("copies").alias("rows")).first()
+    n = buckets or n_buckets(held["groups"])
+    in_order = groups.select(F.pmod(F.xxhash64("gkey"), F.lit(n)).cast("int").alias("bucket"), "gkey", "size").repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("size"), "gkey")
+    local = cut(in_order.mapInArrow(_local(shards), "bucket int, gkey binary, size bigint, part int"), "groups")
     sums: dict[int, list[int]] = {}
     for r in local.groupBy("bucket", "part").agg(F.sum("size").alias("size")).collect():
         sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["size"]
@@ -104,17 +119,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     ranked = {b: sorted(range(shards), key=sums[b].__getitem__, reverse=True) for b in order}
     _, went = difference([tuple(sums[b][p] for p in ranked[b]) for b in order], shards)
     deal = [(b, p, w[place]) for b, w in zip(order, went, strict=True) for place, p in enumerate(ranked[b])]
-    where = spark.createDataFrame(deal, "bucket int, part int, shard int")  # at most buckets * shards rows
-    owned = local.join(F.broadcast(where), ["bucket", "part"]).select("gkey", "shard")
-    dealt = cut(rows.join(owned, "gkey").select("doc_id", "size", "text_crc32", "shard"), "dealt")
-    return dealt.select("*", F.lit(None).cast("int").alias("grown_shard")).transform(lambda d: with_slots(d, n))
+    where = spark.createDataFrame(deal, "bucket int, part int, shard int")  # buckets * shards rows: one for each 16,384 groups or more, beyond 64 buckets
+    owned = cut(local.join(F.broadcast(where), ["bucket", "part"]).select("gkey", "shard"), "owned")  # joined as a written table, so that a large group can be split
+    dealt = rows.join(owned, "gkey").select("doc_id", "size", "text_crc32", "shard")
+    dealt = cut(dealt.withColumn("row", F.monotonically_increasing_id()), "dealt")
+    slots = with_slots(dealt, max(n, -(-(held["rows"] or 0) // MOST)))
+    return slots.select("doc_id", "size", "text_crc32", "shard", F.lit(None).cast("int").alias("grown_shard"), "slot")
 
 
 def with_slots(dealt: DataFrame, salts: int) -> DataFrame:
-    """Adds ``slot``, gapless from 0 in each shard: counted in ``salts`` even pieces of every shard, so no task holds a whole shard."""
-    salted = dealt.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("shard", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # shards * salts rows
-    place = F.row_number().over(Window.partitionBy("shard", "__salt").orderBy("doc_id")).cast("bigint") - 1
-    return salted.withColumn("__place", place).join(F.broadcast(offsets), ["shard", "__salt"]).withColumn("slot", F.col("__before") + F.col("__place")).drop("__salt", "__before", "__place")
+    """Adds ``slot``, gapless from 0 in each shard: counted in ``salts`` even pieces of every shard, so no task holds a whole shard. ``row`` numbers the rows."""
+    salted = dealt.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("shard", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # shards * salts rows
+    place = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "row")).cast("bigint") - 1
+    return salted.withColumn("place", place).join(F.broadcast(offsets), ["shard", "salt"]).withColumn("slot", F.col("before") + F.col("place")).drop("salt", "before", "place")

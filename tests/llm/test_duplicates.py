@@ -277,6 +277,13 @@ def test_shards(spark):
         sums[x["shard"]] += x["size"]
         slots.setdefault(x["shard"], []).append(x["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = sharding.shard_by_bytes(spark.createDataFrame(rows[::-1], "doc_id bigint, text string").repartition(7), 16).collect()
+    assert {x["doc_id"]: x["shard"] for x in again} == {x["doc_id"]: x["shard"] for x in got}  # ties and order of rows don't matter
+    many = sharding.shard_by_bytes(spark.createDataFrame([(i % 3 if i % 2 else None, f"{i:0{1 + i % 90}d}") for i in range(4000)], "doc_id bigint, text string"), 16, buckets=20).collect()
+    by = Counter()
+    for x in many:
+        by[x["shard"]] += x["size"]
+    assert len(many) == 4000 and len(by) == 16 and max(by.values()) - min(by.values()) <= 20
     groups = Counter()
     for t in text.values():
         groups[t or ""] += len((t or "").encode()) + 1
