@@ -75,9 +75,9 @@ def _narrowed(blocks: DataFrame, picked: DataFrame) -> DataFrame:
 
 
 def _met(blocks: DataFrame, name: str) -> DataFrame:
-    """The blocks whose hash comes twice."""
+    """The blocks whose hash comes twice. Shuffled at every size, so that disk grows as the input does."""
     keys = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
-    return cut(blocks.join(cut(keys, "keys"), "k", "left_semi").drop("k"), name)
+    return cut(blocks.join(cut(keys, "keys").hint("merge"), "k", "left_semi").drop("k"), name)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_from: int = 1, near_from: int = NEAR_FROM) -> DataFrame:
@@ -122,7 +122,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = first.select("h1", "h2", "at", "copies").join(close.withColumn("near", F.lit(True)), "at", "left").filter("copies > 1 or near").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     gone = cut(gone, "gone")  # joined as a written table, so that a line of very many copies can be split
     lead = F.struct(*_AT) == F.col("at")
-    return lines.select(*_AT, "h1", "h2").join(gone, ["h1", "h2"]).filter(F.col("near") | ~lead).select(*_AT, (F.col("near") & lead).alias("near"))
+    return lines.select(*_AT, "h1", "h2").join(gone.hint("merge"), ["h1", "h2"]).filter(F.col("near") | ~lead).select(*_AT, (F.col("near") & lead).alias("near"))
 
 
 _KEPT = "array_join(transform(array_except(sequence(0, size({parts}) - 1), {gone}), i -> get({parts}, i)), '\\n')"
