@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbita.functions.columns import named, neighbours
 from orbita.plans.definition import GraphDef
+from orbita.sources.storage import shared_dir
 
 
 def vertices(layers: DataFrame) -> DataFrame:
-    """(id, layer, state, name): numbered from 0 by layer, then state. Numbers inside a layer start where earlier layers end, so no task ranks all states."""
-    sizes = layers.groupBy("layer").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each layer
-    inside = F.row_number().over(Window.partitionBy("layer").orderBy("state"))
-    return layers.withColumn("n", inside).join(F.broadcast(before.select("layer", "before")), "layer").select((F.col("before") + F.col("n") - 1).alias("id"), "layer", "state", named(F.col("state")).alias("name"))
+    """(id, layer, state, name): numbered from 0 by layer, then state. Rows are dealt by ranges of (layer, state) and numbered inside each, so no task holds a layer."""
+    spark = layers.sparkSession
+    ordered = layers.repartitionByRange("layer", "state").sortWithinPartitions("layer", "state").withColumn("at", F.monotonically_increasing_id())
+    path = f"{shared_dir(spark)}/vertices-{uuid.uuid4().hex}"
+    ordered.write.parquet(path)  # ranges are drawn from a sample, so they are fixed once
+    rows = spark.read.schema(ordered.schema).parquet(path).withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("part").count()
+    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
+    return rows.join(F.broadcast(before), "part").select((F.col("before") + place).alias("id"), "layer", "state", named(F.col("state")).alias("name"))
+
+
+def undirected_graph(graph: GraphDef, layers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and numbered edges for export as an undirected graph; ValueError unless the generators are closed under inverses."""
+    if not graph.inverse_closed:
+        raise ValueError("only graphs closed under inverses are undirected")
+    numbered = vertices(layers)
+    pairs = indexed_edges(graph, numbered).select("src", "dst")
+    return numbered, undirected(pairs)
 
 
 def edges(graph: GraphDef, states: DataFrame) -> DataFrame:

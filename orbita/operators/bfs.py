@@ -1,7 +1,8 @@
 """Breadth-first search: layers of states at equal distance.
 
 A layer is expanded in one projection, deduplicated, and stripped of what came before. Layers of at most ``local_states`` states are kept as arrays on
-the driver, whose size that bounds; the first larger one, and all after it, are DataFrames in the shared folder.
+the driver, whose size that bounds; the first larger one, and all after it, are DataFrames in the shared folder. There, states of permutation graphs are 64-bit words, as
+few bits of them for each element as it needs (see :class:`Space`), so a layer shuffles 8 bytes a state where an array takes some hundreds.
 """
 
 from __future__ import annotations
@@ -10,15 +11,60 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbita.functions.columns import neighbours
+from orbita.functions.columns import applied, packed, permuted_packed, unpacked
 from orbita.plans.definition import GraphDef, Kind, flat_state
 from orbita.sources.storage import LayerStore
 
 LOCAL_STATES = 1 << 16
 SCHEMA = "state array<bigint>"
+#: States of more words than this stay arrays.
+MOST_WORDS = 8
+
+
+class Space:
+    """How states lie in the columns of a layer: words of packed elements for permutation graphs, else one array."""
+
+    def __init__(self, graph: GraphDef, starts: np.ndarray):
+        self.graph, self.n = graph, graph.state_size
+        self.bits = max(graph.element_bits, int(starts.max()).bit_length())  # generators only move the elements of the start states
+        words = -(-self.n * self.bits // 64)
+        self.packed = graph.kind is Kind.PERMUTATION and words <= MOST_WORDS and starts.min() >= 0
+        self.columns = [f"w{k}" for k in range(words)] if self.packed else ["state"]
+        self.schema = ", ".join(f"{c} bigint" for c in self.columns) if self.packed else SCHEMA
+
+    def inward(self, states: DataFrame) -> DataFrame:
+        """Columns of this space from a column ``state`` of elements like the start states'; others stay."""
+        if not self.packed:
+            return states
+        rest = [c for c in states.columns if c != "state"]
+        return states.select(*rest, *(w.alias(c) for c, w in zip(self.columns, packed(F.col("state"), self.bits, self.n), strict=True)))
+
+    def outward(self, rows: DataFrame) -> DataFrame:
+        """A column ``state`` from those of this space; others stay."""
+        if not self.packed:
+            return rows
+        rest = [c for c in rows.columns if c not in self.columns]
+        return rows.select(*rest, unpacked([F.col(c) for c in self.columns], self.bits, self.n).alias("state"))
+
+    def moved(self, k: int) -> list[Column]:
+        """The columns after generator k."""
+        if self.packed:
+            return permuted_packed(self.graph.generators[k], [F.col(c) for c in self.columns], self.bits)
+        return [applied(self.graph, k, F.col("state"))]
+
+    def step(self, rows: DataFrame, undo: list[int] | None = None) -> DataFrame:
+        """Distinct neighbours. With ``undo``, rows have the generator ``last`` that led to them, the one that undoes it isn't applied, and each neighbour has its least ``last``."""
+        moves = []
+        for k in range(self.graph.n_generators):
+            move = F.struct(*(x.alias(c) for c, x in zip(self.columns, self.moved(k), strict=True)), F.lit(k).alias("last"))
+            moves.append(move if undo is None else F.when(~F.col("last").eqNullSafe(F.lit(undo[k])), move))
+        found = rows.select(F.explode(F.array(*moves)).alias("x"))
+        if undo is None:
+            return found.select(*(f"x.{c}" for c in self.columns)).distinct()
+        return found.filter("x is not null").select("x.*").groupBy(*self.columns).agg(F.min("last").alias("last"))
 
 
 def local_neighbours(graph: GraphDef, states: np.ndarray) -> np.ndarray:
@@ -56,6 +102,7 @@ class BfsResult:
     sizes: list[int]
     completed: bool
     store: LayerStore | None
+    space: Space
     local: dict[int, np.ndarray] = field(default_factory=dict)
     stored: set[int] = field(default_factory=set)
     spark: SparkSession | None = None
@@ -68,6 +115,13 @@ class BfsResult:
     def n_vertices(self) -> int:
         return sum(self.sizes)
 
+    def same_as(self, other: BfsResult) -> bool:
+        """Whether two results have equal graphs, sizes and ends, and kept the same states of the same layers."""
+        if (self.graph, self.sizes, self.completed, self.stored) != (other.graph, other.sizes, other.completed, other.stored):
+            return False
+        mine, theirs = self.layers(), other.layers()
+        return mine.exceptAll(theirs).isEmpty() and theirs.exceptAll(mine).isEmpty()
+
     def growth(self) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(self.sizes)), "layer int, size bigint")
 
@@ -77,7 +131,7 @@ class BfsResult:
             raise KeyError(f"layer {k} isn't kept")
         if k in self.local:
             return _frame(self.spark, self.local[k])
-        return self.store.get(k)
+        return self.space.outward(self.store.get(k))
 
     def last_layer(self) -> DataFrame:
         return self.layer(self.diameter)
@@ -93,7 +147,7 @@ class BfsResult:
             out = _frame(self.spark, rows, numbers)
         for k in keep:
             if k not in self.local:
-                df = self.store.get(k).select(F.lit(k).alias("layer"), "state")
+                df = self.layer(k).select(F.lit(k).alias("layer"), "state")
                 out = df if out is None else out.unionByName(df)
         return out if out is not None else self.spark.createDataFrame([], "layer int, " + SCHEMA)
 
@@ -137,8 +191,8 @@ def bfs(
     """
     most = 10**18 if max_layer_size_to_store is None else max_layer_size_to_store
     closed = graph.inverse_closed
-    out = BfsResult(graph, [], False, None, spark=spark)
     current = start_array(graph, start_states)
+    out = BfsResult(graph, [], False, None, Space(graph, current), spark=spark)
     out.sizes.append(len(current))
     out.local[0] = current
     out.stored.add(0)
@@ -180,15 +234,14 @@ def bfs(
 
 def _distributed(out: BfsResult, arrays: dict[int, np.ndarray], most: int, explore: int, max_diameter: int, stop, closed: bool) -> BfsResult:
     """The search from the layers on the driver on, as DataFrames."""
-    spark, graph = out.spark, out.graph
-    out.store = store = LayerStore(spark, SCHEMA)
+    spark, space = out.spark, out.space
+    out.store = store = LayerStore(spark, space.schema)
     for k in range(len(out.sizes)) if not closed else range(max(0, len(out.sizes) - 2), len(out.sizes)):
-        store.put(k, _frame(spark, arrays[k]))
+        store.put(k, space.inward(_frame(spark, arrays[k])))
     while len(out.sizes) <= max_diameter:
         k = len(out.sizes)
         past = store.get(*range(max(0, k - 2) if closed else 0, k))
-        found = store.get(k - 1).select(F.explode(neighbours(graph, F.col("state"))).alias("state")).distinct().join(past, "state", "left_anti")
-        size = store.put(k, found)
+        size = store.put(k, space.step(store.get(k - 1)).join(past, space.columns, "left_anti"))
         if not size:
             out.completed = True
             out.stored.add(k - 1)
@@ -196,19 +249,44 @@ def _distributed(out: BfsResult, arrays: dict[int, np.ndarray], most: int, explo
         out.sizes.append(size)
         if size <= most:
             out.stored.add(k)
-        if size >= explore or stop and stop(k, store.get(k)):
+        if size >= explore or stop and stop(k, space.outward(store.get(k))):
             break
     return out
 
 
+def bfs_no_backtrack(spark: SparkSession, graph: GraphDef, max_diameter: int = 10**6) -> list[int]:
+    """Sizes of layers, by a search whose states remember the generator that led to them and never undo it: fewer neighbours to shuffle, by one for each state.
+
+    The generators must be closed under inverses. States that were reached in several ways remember the least generator; the layer before is left out by exact states.
+    """
+    undo = graph.inverse_map()
+    if None in undo:
+        raise ValueError("the generators aren't closed under inverses")
+    start = start_array(graph, None)
+    space = Space(graph, start)
+    store = LayerStore(spark, space.schema + ", last int")
+    first = space.inward(_frame(spark, start)).withColumn("last", F.lit(None).cast("int"))
+    sizes = [store.put(0, first)]
+    while len(sizes) <= max_diameter:
+        k = len(sizes)
+        past = store.get(*range(max(0, k - 2), k)).drop("last")
+        size = store.put(k, space.step(store.get(k - 1), undo).join(past, space.columns, "left_anti"))
+        if not size:
+            break
+        sizes.append(size)
+    return sizes
+
+
 class InteractiveBfs:
     """A search in single steps."""
 
     def __init__(self, spark: SparkSession, graph: GraphDef, start_states: Sequence | None = None):
         self.spark, self.graph = spark, graph
-        self.store = LayerStore(spark, SCHEMA)
+        start = start_array(graph, start_states)
+        self.space = Space(graph, start)
+        self.store = LayerStore(spark, self.space.schema)
         self.closed = graph.inverse_closed
-        self.sizes = [self.store.put(0, _frame(spark, start_array(graph, start_states)))]
+        self.sizes = [self.store.put(0, self.space.inward(_frame(spark, start)))]
 
     def step(self) -> int:
         """Adds the next layer; returns its size, 0 at the end."""
@@ -216,12 +294,11 @@ class InteractiveBfs:
         if not self.sizes[-1]:
             return 0
         past = self.store.get(*range(max(0, k - 2) if self.closed else 0, k))
-        found = self.store.get(k - 1).select(F.explode(neighbours(self.graph, F.col("state"))).alias("state")).distinct().join(past, "state", "left_anti")
-        self.sizes.append(self.store.put(k, found))
+        self.sizes.append(self.store.put(k, self.space.step(self.store.get(k - 1)).join(past, self.space.columns, "left_anti")))
         return self.sizes[-1]
 
     def layer(self, k: int) -> DataFrame:
-        return self.store.get(k)
+        return self.space.outward(self.store.get(k))
 
     def find_on_last_layer(self, states: DataFrame) -> DataFrame:
         """Those of ``states`` that the last layer has."""

@@ -95,7 +95,7 @@ def meet_between(spark: SparkSession, graph: GraphDef, starts: Sequence, targets
     sides = (InteractiveBfs(spark, graph, starts), InteractiveBfs(spark, graph.inverted(), targets))
 
     def results() -> list[BfsResult]:
-        return [BfsResult(s.graph, [x for x in s.sizes if x], False, s.store, {}, set(range(len(s.sizes))), spark) for s in sides]
+        return [BfsResult(s.graph, [x for x in s.sizes if x], False, s.store, s.space, {}, set(range(len(s.sizes))), spark) for s in sides]
 
     def meeting(i: int, j: int):
         if i < 0 or j < 0:

@@ -6,6 +6,7 @@ import itertools
 import json
 import re
 from collections.abc import Callable
+from pathlib import Path
 
 from orbita.functions import perm
 from orbita.plans.definition import GraphDef
@@ -65,7 +66,7 @@ def rubik_cube(size: int, metric: str) -> GraphDef:
     elif metric == "ATM":
         for a in _AXES:
             layers = [moves[f"{a}{k}"] for k in range(size)]
-            for turns in itertools.product((0, 1, 3) if size % 2 or size == 2 else (0, 1, 3), repeat=size):
+            for turns in itertools.product((0, 1, 3), repeat=size):
                 if any(turns):
                     g = perm.identity(6 * size * size)
                     for p, t in zip(layers, turns, strict=True):
@@ -173,4 +174,139 @@ def load_gap(path: str, make_inverse_closed: bool = True) -> GraphDef:
         return parse_gap(f.read(), path.rsplit("/", 1)[-1], make_inverse_closed)
 
 
-NAMED: dict[str, Callable[[], GraphDef]] = {}
+def list_puzzles(folder: str) -> list[str]:
+    """Names of the ``.gap`` files of a folder."""
+    return sorted(p.stem for p in Path(folder).glob("*.gap"))
+
+
+def gap_puzzle(name: str, folder: str, make_inverse_closed: bool = True) -> GraphDef:
+    """The puzzle of a folder's file ``<name>.gap``; ValueError if there's none."""
+    path = Path(folder) / f"{name}.gap"
+    if not path.is_file():
+        raise ValueError(f"no puzzle {name}; there are {', '.join(list_puzzles(folder))}")
+    return load_gap(str(path), make_inverse_closed)
+
+
+# Blocks of three tiles by place of the move's result, as the block that comes there and how far it turns.
+_PYRAMORPHIX = """
+DF  0   1   3+2 2+1 5   4   6   7
+RL  1   0   2   3   4   5   7   6
+LF  2+2 1   0+1 3   6   5   4   7
+RD  0   3+1 2   1+2 4   7   6   5
+DL  0   2+2 1+1 3   4   6   5   7
+FR  3+1 1   2   0+2 7   5   6   4
+Fv  2+1 1+2 3+1 0+1 4+1 7+1 5+1 6+1
+Dv  0+2 3   1   2   6+1 5+1 7+1 4+1
+Lv  1+2 2+1 0   3+2 7+1 4+1 6+1 5+1
+Rv  3   0+2 2+2 1+1 5+1 6+1 4+1 7+1
+"""
+
+
+def mini_pyramorphix() -> GraphDef:
+    """24 tiles in blocks of three: swaps of two pairs of blocks, both swaps of opposite edges at once, and turns of four blocks both ways."""
+    moves = {}
+    for line in _PYRAMORPHIX.strip().splitlines():
+        name, *blocks = line.split()
+        turns = [(int(b[0]), int(b[2:] or 0)) for b in blocks]
+        moves[name] = [3 * block + (i + turn) % 3 for block, turn in turns for i in range(3)]
+    gens = {}
+    for one, two in (("DF", "RL"), ("LF", "RD"), ("DL", "FR")):
+        gens |= {f"M_{one}": moves[one], f"M_{two}": moves[two], f"M_{one}v": perm.compose(moves[one], moves[two])}
+    for name in ("Fv", "Dv", "Lv", "Rv"):
+        gens |= {f"M_{name}": moves[name], f"M_{name}i": perm.inverse(moves[name])}
+    return GraphDef.permutations(list(gens.values()), list(gens), None, "mini_pyramorphix")
+
+
+#: Normal of each face, and where its rows run to the right and downwards.
+_PICTURES = (
+    ((0, 0, 1), (1, 0, 0), (0, -1, 0)),
+    ((0, -1, 0), (1, 0, 0), (0, 0, -1)),
+    ((1, 0, 0), (0, 1, 0), (0, 0, -1)),
+    ((0, 1, 0), (-1, 0, 0), (0, 0, -1)),
+    ((-1, 0, 0), (0, -1, 0), (0, 0, -1)),
+    ((0, 0, -1), (1, 0, 0), (0, 1, 0)),
+)
+
+
+def picture_cube333() -> GraphDef:
+    """A 3x3x3 cube whose centres show how they are turned: four tiles stand in each, so a face has 12. Quarter turns of all nine layers, both ways."""
+    unit = 4  # a centre's tiles lie a quarter off its middle
+    spots = [(y, x) for y in (-unit, 0, unit) for x in (-unit, 0, unit)]
+    spots[4:5] = [(y, x) for y in (-1, 1) for x in (-1, 1)]
+    tiles = [(tuple(unit * n + x * r + y * d for n, r, d in zip(normal, right, down, strict=True)), normal) for normal, right, down in _PICTURES for y, x in spots]
+    at = {t: i for i, t in enumerate(tiles)}
+    gens = {}
+    # layers are counted from the top, the right and the front
+    for name, axis, sign, (u, v) in (("f", 2, 1, (0, 1)), ("r", 0, 1, (1, 2)), ("d", 1, -1, (0, 2))):
+
+        def turned(p: tuple[int, ...], u: int = u, v: int = v) -> tuple[int, ...]:
+            q = list(p)
+            q[u], q[v] = -p[v], p[u]
+            return tuple(q)
+
+        for k in range(3):
+            g = perm.identity(len(tiles))
+            for i, (point, normal) in enumerate(tiles):
+                depth = sign * point[axis]
+                if (0 if depth > unit // 2 else 2 if depth < -unit // 2 else 1) == k:
+                    g[at[turned(point), turned(normal)]] = i
+            gens |= {f"{name}{k}": g, f"-{name}{k}": perm.inverse(g)}
+    return GraphDef.permutations(list(gens.values()), list(gens), None, "picture_cube333")
+
+
+# Cycles of tiles, from 1.
+_PYRAMINX = {
+    "r": "31 33 32",
+    "l": "34 36 35",
+    "b": "28 30 29",
+    "u": "25 27 26",
+    "BL": "1 8 4, 2 7 3, 13 22 18, 14 23 16, 15 24 17, 25 34 30, 26 35 28, 27 36 29",
+    "BR": "3 11 10, 4 12 9, 13 17 19, 14 18 20, 15 16 21, 25 29 31, 26 30 32, 27 28 33",
+    "F": "1 10 5, 2 9 6, 13 21 23, 14 19 24, 15 20 22, 25 33 35, 26 31 36, 27 32 34",
+    "D": "5 12 7, 6 11 8, 16 22 19, 17 23 20, 18 24 21, 28 34 31, 29 35 32, 30 36 33",
+}
+# The cycle of one tile of each corner that a face turns, and of one tile of each edge.
+_MEGAMINX = {
+    "M_U": "1 4 19 22 7, 61 63 75 73 77",
+    "M_D": "37 55 58 52 40, 93 115 117 111 95",
+    "M_F": "1 9 31 35 12, 61 66 87 68 80",
+    "M_B": "25 41 52 47 30, 97 112 113 108 99",
+    "M_L": "1 11 15 16 5, 63 79 69 81 71",
+    "M_DR": "43 47 54 59 51, 101 103 113 117 119",
+    "M_BL": "4 17 27 28 20, 71 84 99 86 76",
+    "M_FR": "31 50 60 56 36, 87 109 120 115 90",
+    "M_BR": "19 29 48 43 23, 73 86 107 103 106",
+    "M_FL": "10 35 57 38 15, 67 90 94 91 70",
+    "M_R": "7 24 43 50 33, 65 77 105 101 109",
+    "M_DL": "13 38 40 26 18, 81 91 95 97 83",
+}
+
+
+def _both_ways(n: int, moves: dict[str, list[list[int]]], name: str) -> GraphDef:
+    gens = {}
+    for k, cycles in moves.items():
+        g = perm.from_cycles(n, cycles, offset=1)
+        gens |= {k: g, k + "_inv": perm.inverse(g)}
+    return GraphDef.permutations(list(gens.values()), list(gens), None, name)
+
+
+def _cycles(text: str) -> list[list[int]]:
+    return [[int(x) for x in c.split()] for c in text.split(",")]
+
+
+def pyraminx() -> GraphDef:
+    """36 tiles of a tetrahedron: its four tips and four layers, turned both ways."""
+    return _both_ways(36, {k: _cycles(text) for k, text in _PYRAMINX.items()}, "pyraminx")
+
+
+def megaminx() -> GraphDef:
+    """120 tiles of a dodecahedron: three of a corner have numbers in a row up to 60, two of an edge beyond; its twelve faces, turned both ways."""
+    moves = {}
+    for k, text in _MEGAMINX.items():
+        corner, edge = _cycles(text)
+        corners = [[(x - 1) // 3 * 3 + (x - 1 + turn) % 3 + 1 for x in corner] for turn in range(3)]
+        moves[k] = [*corners, edge, [((x - 1) ^ 1) + 1 for x in edge]]
+    return _both_ways(120, moves, "megaminx")
+
+
+NAMED: dict[str, Callable[[], GraphDef]] = {f.__name__: f for f in (mini_pyramorphix, picture_cube333, pyraminx, megaminx)}

@@ -5,6 +5,7 @@ Keys of tables become states by lexicographic rank: ``key % n!`` is the rank of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from orbita.functions import columns as C
 from orbita.functions import perm
 from orbita.operators import analysis, paths, walks
 from orbita.operators.beam import beam_search, beam_search_to, score, top_k
-from orbita.operators.bfs import InteractiveBfs, bfs
+from orbita.operators.bfs import InteractiveBfs, bfs, bfs_no_backtrack
+from orbita.operators.bitmap import bfs_bitmap
 from orbita.plans import library as L
 from orbita.plans import puzzles
 from orbita.plans.definition import GraphDef
@@ -188,12 +190,29 @@ def _interactive(spark: SparkSession, _: str) -> DataFrame:
 _add("interactive_bfs_steps", _interactive, "layer:i size:i", *_growth_sql(_PANCAKE6, 3))
 _add(
     "bfs_no_backtrack",
-    lambda s, _: bfs(s, _LRX6).growth().filter("layer > 0").select("layer", "size"),
+    lambda s, _: s.createDataFrame(list(enumerate(bfs_no_backtrack(s, _LRX6))), "layer int, size bigint").filter("layer > 0"),
     "layer:i size:i",
     "SELECT d AS layer, count(*) AS size FROM l WHERE d > 0 GROUP BY d",
     _bfs_sql(_LRX6, 15),
 )
 
+_LX6 = L.lx(6)
+_add("bfs_bitmap", lambda s, _: s.createDataFrame(list(enumerate(bfs_bitmap(s, _LX6, 9))), "layer int, size bigint"), "layer:i size:i", *_growth_sql(_LX6, 9))
+
+#: Binary strings with 13 ones: C(26, 13) states.
+_BINARY26 = L.lrx(26).with_central("0" * 13 + "1" * 13)
+_COSET12 = L.lrx(12).with_central("000000111111")
+_add("bfs_growth_coset", lambda s, _: bfs(s, _COSET12, local_states=16).growth(), "layer:i size:i", *_growth_sql(_COSET12, 40))
+
+
+def binary_coset(spark: SparkSession, _: str) -> DataFrame:
+    """Growth of all strings of 13 zeros and 13 ones: 10,400,600 states."""
+    return bfs(spark, _BINARY26).growth()
+
+
+for _puzzle, _depth in ((puzzles.mini_pyramorphix(), 6), (puzzles.pyraminx(), 3), (puzzles.megaminx(), 2), (puzzles.picture_cube333(), 2), (puzzles.rubik_cube(2, "fixed_QTM"), 4), (puzzles.rubik_cube(2, "fixed_HTM"), 3), (puzzles.rubik_cube(3, "QTM"), 3), (puzzles.rubik_cube(3, "HTM"), 2), (puzzles.rubik_cube(2, "ATM"), 2), (puzzles.rubik_cube(3, "QSTM"), 2)):
+    _add("bfs_growth_" + re.sub(r"\W+", "_", _puzzle.name), _growth(_puzzle, max_diameter=_depth), "layer:i size:i", *_growth_sql(_puzzle, _depth))
+
 # ---- projections
 
 

@@ -12,13 +12,29 @@ from pyspark.sql import functions as F
 from orbita.plans.definition import GraphDef, Matrix
 
 
+_made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """This application's folder under spark.checkpoint.dir, which all machines share; it's removed when the application ends.
+
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="orbita-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    root = f"{path.rstrip('/')}/orbita-{spark.sparkContext.applicationId}"
+    if root not in _made:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _made.add(root)
+    return root
 
 
 class LayerStore:
