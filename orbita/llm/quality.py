@@ -172,5 +172,10 @@ def ablations(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with all their columns, each judged by its own text; ids aren't used."""
-    return _judged(docs, F.col(text_col).cast("string")).filter(~policy.rejects(F.col("__q_failures"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the policy keeps, with all their columns, each judged by its own text; ids aren't used, so they may be null or come again.
+
+    An empty table stays empty. Columns may have any names.
+    """
+    plain = docs.toDF(*(f"column{i}" for i in range(len(docs.columns))))
+    judged = _judged(plain, F.col(f"column{docs.columns.index(text_col)}").cast("string")).filter(~policy.rejects(F.col("__q_failures")))
+    return judged.select(*plain.columns).toDF(*docs.columns)

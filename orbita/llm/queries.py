@@ -18,8 +18,6 @@ from orbita.llm import suffix_dedup as _suffixes
 from orbita.llm import token_counts as _counts
 from orbita.llm import token_files as _files
 
-CONTEXT_LIMITS = [512, 1024, 2048, 4096, 8192, 32768, 131072]
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

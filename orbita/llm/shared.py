@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="orbita-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from orbita.sources.storage import shared_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orbita-{uuid.uuid4().hex}/{name}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

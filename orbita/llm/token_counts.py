@@ -26,7 +26,10 @@ def encoding(path: str, pattern: str):
 
 
 def encoded_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens): the exact number of tokens of each whole text; strings of special tokens count as ordinary text. Null is empty: 0."""
+    """(doc_id, n_tokens): the exact number of tokens of each whole text; strings of special tokens count as ordinary text. Null is empty: 0.
+
+    A row for each row, whatever its id; an empty table gives an empty one. Other columns of ``docs`` aren't read.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary
@@ -38,7 +41,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """(n_tokens, n_docs), a row for each length that occurs: counted in each task first, so at most a row for each length and task moves."""
+    """(n_tokens, n_docs), a row for each length that occurs: counted in each task first, so at most a row for each length and task moves. None for no documents."""
     return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -46,7 +49,7 @@ def suffix_sums(histogram: DataFrame, block: int = 4096) -> DataFrame:
     """Adds to each length L: docs_ge and tokens_ge (documents of at least L tokens, and their tokens), docs_lt, and
     truncated_total (tokens left if every document is cut to L tokens).
 
-    The histogram is written once, as its two readers would encode all texts twice. Sums run inside blocks of ``block`` lengths, and over the blocks' totals: as many of these as the longest document has blocks, whatever the number of documents.
+    An empty histogram gives an empty table. The histogram is written once, as its two readers would encode all texts twice. Sums run inside blocks of ``block`` lengths, and over the blocks' totals: as many of these as the longest document has blocks, whatever the number of documents.
     """
     h = cut(histogram, "histogram").withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
     down = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)

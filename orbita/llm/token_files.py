@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 2
     """Encodes every whole text, appends ``end_id`` and writes the ids under ``uri`` in ascending id order. Returns the manifest (file, n_docs, n_tokens).
 
     Raises ValueError for a vocabulary that 16 bits don't hold. Files are named by their place, so the dataset's ids are those of its files in order of name. Null text is empty and gives the end id
-    alone. Repeated ids keep a sequence each; null ids come first. An empty table gives files without rows.
+    alone. Repeated ids keep a sequence each, in order of a hash of their texts; null ids come first. An empty table gives files without rows.
     """
 
     if max(end_id, word_bpe(tokenizer_path).full.get_vocab_size() - 1) > np.iinfo(ID).max:
@@ -213,7 +213,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 2
         out.close()
         yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    ordered = id_text(docs, id_col, text_col).repartitionByRange(partitions or width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    rows = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))  # texts of one id, or of none, are ranges of their own
+    ordered = rows.repartitionByRange(partitions or width(docs.sparkSession), "doc_id", "th").sortWithinPartitions("doc_id", "th").drop("th")
     return cut(ordered.mapInArrow(write, "file string, n_docs bigint, n_tokens bigint"), "manifest")
 
 
