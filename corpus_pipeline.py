@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Stages work on all that the one
 before has kept, and meet through Parquet in the shared folder. Null, empty and very long texts, ties, repeated rows and empty tables are
-handled as the operators' docstrings say; ``doc_id`` is taken to be unique.
+handled as the operators' docstrings say. Ids may be null or come again: a row counts by its own text.
 """
 
 from __future__ import annotations
