@@ -2,7 +2,7 @@
 
 Two lines are within one edit just if they agree after one character is deleted from both at one place, or from the longer one. So
 each line gives the hashes of its variants, and equal variants meet. To emit few, lines are first held against each other with whole blocks
-deleted (four to a line, and parts of the blocks that met again and again, until they are short); only lines that agree outside some short block give the
+deleted (two to a line, and parts of the blocks that met again and again, until they are short); only lines that agree outside some short block give the
 variants of that block. So the work on a line grows as its length, but for a logarithm. Equal lines are one line from the start,
 and the earliest of a group of variants answers for it, so groups are summed and never paired.
 
@@ -18,7 +18,7 @@ from orbita.llm.shared import cut, free_names, keyed, with_keys
 
 #: Lines of fewer characters have no near matches unless asked for, as an edit weighs more in them.
 NEAR_FROM = 32
-BLOCKS = 4
+BLOCKS = 2
 #: Blocks wider than that are cut into PARTS.
 NARROW, PARTS = 32, 16
 #: Rows of (document, line, block), of some 50 bytes each, that are broadcast at most.
