@@ -123,17 +123,20 @@ def meet_between(spark: SparkSession, graph: GraphDef, starts: Sequence, targets
     return start, head + tail
 
 
-def find_path(spark: SparkSession, graph: GraphDef, start: Sequence[int] | str, max_layer_size: int = 10**6, max_diameter: int = 50, **beam) -> list[int] | None:
-    """A path from ``start`` to the centre: by meeting in the middle, or by beam search where ``predictor`` is given."""
+def near_search(spark: SparkSession, graph: GraphDef, max_layer_size: int = 10**6, max_diameter: int = 50) -> BfsResult:
+    """The search around the centre that :func:`find_path` meets; made once, it serves many start states."""
+    return bfs(spark, graph if graph.inverse_closed else graph.inverted(), None, None, max_layer_size, max_diameter)
+
+
+def find_path(spark: SparkSession, graph: GraphDef, start: Sequence[int] | str, max_layer_size: int = 10**6, max_diameter: int = 50, near: BfsResult | None = None, **beam) -> list[int] | None:
+    """A path from ``start`` to the centre: by meeting in the middle, or by beam search where ``predictor`` is given. ``near`` is the result of :func:`near_search`, if there is one already."""
     if "predictor" in beam:
         from orbita.operators.beam import beam_search
 
         found = beam_search(spark, graph, start, return_path=True, **({"beam_width": 10**4} | beam))
         return found.path if found.found else None
+    near = near or near_search(spark, graph, max_layer_size, max_diameter)
     if graph.inverse_closed:
-        near = bfs(spark, graph, None, None, max_layer_size, max_diameter)
         return meet_from(spark, graph, start, near)
-    back = graph.inverted()
-    near = bfs(spark, back, None, None, max_layer_size, max_diameter)
-    path = meet_to(spark, back, start, near)
+    path = meet_to(spark, graph.inverted(), start, near)
     return None if path is None else path[::-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbita.functions.columns import literal_state, neighbours
@@ -54,6 +54,7 @@ def not_back(spark: SparkSession, graph: GraphDef, width: int, length: int, hist
     Steps with fewer new states repeat them; one without any keeps the states and the y of the one before.
     """
     store = LayerStore(spark, "walk_id bigint, state array<bigint>, y int")
+    picks = LayerStore(spark, "state array<bigint>, place bigint")
     begin = literal_state(graph.central if start is None else flat_state(start))
     store.put(0, spark.range(width).select(F.col("id").alias("walk_id"), begin.alias("state"), F.lit(0).alias("y")))
     for k in range(1, length):
@@ -61,9 +62,10 @@ def not_back(spark: SparkSession, graph: GraphDef, width: int, length: int, hist
         past = store.get(*range(max(0, k - history), k)).select("state")
         new = store.get(k - 1).select(F.explode(neighbours(graph, F.col("state"))).alias("state")).distinct().join(past, "state", "left_anti")
         picked = new.orderBy(F.xxhash64(F.lit(seed), F.lit(k), F.col("state")), "state").limit(width)  # at most the width asked for
-        rows = [r["state"] for r in picked.collect()]
-        if rows:
-            store.put(k, spark.createDataFrame([(i, rows[i % len(rows)], y) for i in range(width)], store.schema))
+        numbered = picked.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit(k), F.col("state")), "state")).cast("bigint") - 1)  # the width asked for, at most
+        n = picks.put(k, numbered)
+        if n:
+            store.put(k, spark.range(width).join(picks.get(k), F.pmod("id", F.lit(n)) == F.col("place")).select(F.col("id").alias("walk_id"), "state", F.lit(y).alias("y")))
         else:
             store.put(k, store.get(k - 1))
     out = None

@@ -603,6 +603,20 @@ _add("dataset_key_grid", lambda s, _: datasets.key_grid(s, 3, 9, 2, 5), "key n:i
 _add("dataset_missing_keys", lambda s, _: datasets.missing_keys(datasets.key_grid(s, 3, 9, 2, 5), datasets.key_grid(s, 3, 6, 2, 4)), "key n:i k:i", "SELECT n || ',' || k AS key, n, k FROM range(3, 10) a(n), range(2, 6) b(k) WHERE k <= n AND NOT (n <= 6 AND k <= 4)")
 
 
+def _catalogue(spark: SparkSession, _: str) -> DataFrame:
+    return spark.createDataFrame([(name, key) for name, t in datasets.CATALOGUE.items() if name != "hungarian_rings_growth" for key in t.keys], "dataset string, key string")
+
+
+_RANGES = {"lrx lx stars": (3, 12), "top_spin": (4, 12), "transposons pancake full_reversals cyclic_coxeter rapaport_m1 rapaport_m2 down_cycles prefix_cycles": (2, 11), "all_transpositions coxeter": (2, 31), "burnt_pancake signed_reversals": (1, 8), "all_cycles larx": (2, 8), "block_interchange": (3, 10), "lsl_cycles": (4, 8)}
+_KEYS_SQL = [f"SELECT '{f}_cayley_growth' AS dataset, CAST(n AS VARCHAR) AS key FROM range({a}, {b}) t(n)" for names, (a, b) in _RANGES.items() for f in names.split()]
+_KEYS_SQL += [f"SELECT 'sl_{k}_{f}_growth', CAST(n AS VARCHAR) FROM range(2, {b}) t(n)" for k, b in ((2, 11), (3, 6)) for f in ("fund_roots", "root_weyl")]
+_KEYS_SQL += [f"SELECT '{f}_k_cycles_cayley_growth', n || ',' || k FROM range({a}, 10) t(n), range(2, 10) u(k) WHERE k <= least(n, {m})" for f, a, m in (("wrapped", 2, 9), ("increasing", 3, 5), ("consecutive", 3, 5))]
+_KEYS_SQL += ["SELECT 'heisenberg_growth', n || ',' || m FROM range(3, 11) t(n), range(2, 51) u(m) WHERE pow(m, 2 * n - 3) <= 2000000"]
+for _f, _a in (("lrx", 3), ("top_spin", 4)):
+    _KEYS_SQL += [f"SELECT '{_f}_coset_growth', repeat('01', n // 2) || repeat('0', n % 2) FROM range({_a}, 30) t(n)", f"SELECT '{_f}_coset_growth', repeat('0', n - n // 2) || repeat('1', n // 2) FROM range({_a}, 30) t(n)"]
+_add("dataset_catalogue", _catalogue, "dataset key", " UNION ALL ".join(_KEYS_SQL))
+
+
 def _dataset_scan(spark: SparkSession, _: str) -> DataFrame:
     import uuid
 
@@ -636,3 +650,18 @@ _add(
     "SELECT k AS left_size, 0 AS left_index, 13 - k AS right_size, 0 AS right_index FROM range(2, 7) t(k) UNION ALL SELECT k, i, 14 - k, j FROM range(2, 8) t(k), range(1, 8) a(i), range(1, 8) b(j) WHERE i <= k // 2 AND j <= (14 - k) // 2 AND (k <> 14 - k OR i <= j)",
 )
 _add("events_top_users", lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(_layers(s, _LRX6).select(C.ranked(F.col("state"), 6).alias("r"), "layer")), F.col("user_id") % 720 == F.col("r")).groupBy("layer").agg(F.sum("n").alias("events")), "layer:i events:i", "SELECT d AS layer, count(*) AS events FROM events JOIN perms ON r = user_id % 720 JOIN l ON l.s = perms.s GROUP BY d", f"{_P6}, {_bfs_sql(_LRX6, 15)}")
+
+
+def _walk_edges(mode: str) -> Query:
+    """How many of 100 walks took an edge at each step."""
+
+    def run(spark: SparkSession, _: str) -> DataFrame:
+        rows = walks.random_walks(spark, _LRX6, 100, 8, mode, seed=5)
+        before = rows.select("walk_id", (F.col("step") + 1).alias("step"), F.col("state").alias("before"))
+        near = F.array_contains(C.neighbours(_LRX6, F.col("before")), F.col("state"))
+        return rows.join(before, ["walk_id", "step"]).filter(near).groupBy("step").agg(F.count(F.lit(1)).alias("edges"))
+
+    return run
+
+
+_add("walks_classic_edges", _walk_edges("classic"), "step:i edges:i", "SELECT step, 100 AS edges FROM range(1, 8) t(step)")
