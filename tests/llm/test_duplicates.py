@@ -76,7 +76,7 @@ def test_near_duplicates(spark, copies, k, percent):
     assert kept.columns == copies.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
-@pytest.mark.parametrize("k, percent, changed, n", [(3, 85, 7, 1200), (5, 80, 6, 200), (5, 80, 6, 1200)])
+@pytest.mark.parametrize("k, percent, changed, n", [(3, 85, 7, 3000), (5, 80, 6, 100), (5, 80, 6, 1200)])
 def test_star_families(spark, k, percent, changed, n):
     """Copies that are like one document, but not like each other."""
     r = random.Random(9)
