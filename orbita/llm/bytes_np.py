@@ -21,14 +21,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Powers that a worker keeps; a longer text has its own, which go with it.
+KEPT_POWERS = 4 << 20
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n + 1 of each."""
-    if len(_powers[0]) <= n:
+    held = _powers if n <= KEPT_POWERS else [_powers[0][:1], _powers[1][:1]]
+    if len(held[0]) <= n:
         for k, base in enumerate((_B, _B_INV)):
             full = np.full(n + 1, base, np.uint64)
             full[0] = 1
-            _powers[k] = np.cumprod(full, dtype=np.uint64)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+            held[k] = np.cumprod(full, dtype=np.uint64)
+    return held[0][: n + 1], held[1][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
