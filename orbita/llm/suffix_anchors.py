@@ -4,27 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 
-from orbita.llm.bytes_np import _TABLE, mix, powers
+from orbita.llm.bytes_np import mix, powers
 
 #: Bytes of which an anchor is the least hash.
 GRAM = 16
 
 
-def cells(data: np.ndarray, begin: np.ndarray, length: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Splits the starts of all ``length``-byte strings of some texts into runs that have one anchor: row, first start, last start, anchor.
+def cells(values: np.ndarray, begin: np.ndarray, length: int, core: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Splits the starts of all strings of ``length`` values in some texts into runs that have one anchor: row, first start, last start, anchor.
 
-    ``begin`` has the texts' offsets in ``data``. The anchor of a start is the place of the least gram hash (the first of equal ones) among
+    ``values`` has 64 random bits for each byte, or word, and ``begin`` the texts' offsets in it. The anchor of a start is the place of the least gram hash (the first of equal ones) among
     those that leave ``core`` bytes from the anchor on inside the string, so equal strings have their anchors at equal distances.
     """
-    n = len(data)
+    n = len(values)
     span = length - core + 1
     z = np.zeros(0, np.int64)
     if n < length:
         return z, z, z, z
     power, inverse = powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[:n], out=total[1:])
-    g = mix((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+    np.cumsum(values * power[:n], out=total[1:])
+    g = mix((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
     v = (g >> np.uint64(32) << np.uint64(32)) | np.arange(len(g), dtype=np.uint64)
     step = 1
     while 2 * step <= span:

@@ -8,10 +8,14 @@ Every start belongs to the run of its anchor (see :mod:`suffix_anchors`), and eq
 run meets its like under a hash of the bytes that all its strings share, and is settled as a whole if all its bytes come twice. Else it's cut
 into runs of at most ``FINE`` starts, which are settled alike; few are left for sorting. Sizes move in proportion to the input: no pair of
 occurrences is formed, and counts are made before rows move.
+
+Passages of many words can be shorter than ``length`` bytes. Those that come twice are found on request, by the same runs over words in place of
+bytes; starts that whole runs leave open are settled by counted hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -22,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbita.llm.bytes_np import groups, utf8
+from orbita.llm.bytes_np import _TABLE, groups, utf8, words
 from orbita.llm.shared import cut, keyed, width
 from orbita.llm.suffix_anchors import GRAM, cells
 
@@ -121,20 +125,28 @@ _RUN = f"{_ROW_KIND}, first int, n int, off int, key bigint, content bigint"
 _RUN_NAMES = [*ROW, "first", "n", "off", "key", "content"]
 
 
-def _coarse(length: int, core: int):
+def _coarse(length: int, core: int, by_word: bool = False):
+    """Runs of starts of ``length``-byte strings that have one anchor, or of strings of so many words; places and lengths are in bytes, or words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for batch in batches:
             offsets, data = utf8(batch.column(2))
             ids = [batch.column(c).to_numpy() for c in (0, 1)]
             for lo, hi in groups(offsets, ANCHOR_BYTES):
-                at = offsets[lo : hi + 1] - offsets[lo]
-                b = data[offsets[lo] : offsets[hi]]
-                row, first, last, anchor = cells(b, at, length, core)
+                if by_word:
+                    text, _, _, b = words(offsets[lo : hi + 1], data, lower=False)
+                    at = np.searchsorted(text, np.arange(hi - lo + 1))
+                    row, first, last, anchor = cells(b, at, length, core, core)
+                else:
+                    at = offsets[lo : hi + 1] - offsets[lo]
+                    b = data[offsets[lo] : offsets[hi]]
+                    row, first, last, anchor = cells(_TABLE[b], at, length, core)
                 raw = memoryview(b.tobytes())
+                u = b.itemsize
                 off = anchor - first
-                keys = [_signed(h(raw[a : a + core])) for a in anchor.tolist()]
-                content = [_signed(h(raw[f : e + length], o)) for f, e, o in zip(first.tolist(), last.tolist(), off.tolist(), strict=True)]
+                keys = [_signed(h(raw[u * a : u * (a + core)])) for a in anchor.tolist()]
+                content = [_signed(h(raw[u * f : u * (e + length)], o)) for f, e, o in zip(first.tolist(), last.tolist(), off.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(x[lo:hi][row]) for x in ids), *(pa.array(x, pa.int32()) for x in (first - at[row], last - first + 1, off)), pa.array(keys, pa.int64()), pa.array(content, pa.int64())],
                     names=_RUN_NAMES,
@@ -281,14 +293,64 @@ def repeats(docs: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     return coarse.filter("whole").select(*plain).unionByName(open_fine).unionByName(by_sort).unionByName(by_hash)
 
 
-def _remove(length: int, with_text: bool):
+def _word_strings(count: int):
+    """128 bits of each string of ``count`` words that starts in an open run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner: list[tuple[int, int]] = []
+        starts: list[np.ndarray] = []
+        digests: list[bytes] = []
+        for doc, raw, runs in _with_texts(batches):
+            hashes = memoryview(words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), lower=False)[3].tobytes())
+            for first, n, *_ in runs:
+                owner.append(doc)
+                starts.append(np.arange(first, first + n))
+                digests += [xxhash.xxh3_128_digest(hashes[8 * p : 8 * (p + count)]) for p in range(first, first + n)]
+            if len(digests) >= 50_000:
+                yield _digests(owner, starts, digests)
+                owner, starts, digests = [], [], []
+        if digests:
+            yield _digests(owner, starts, digests)
+
+    return run
+
+
+def _digests(owner: list[tuple[int, int]], starts: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
+    who = np.repeat(np.array(owner, np.int64), [len(x) for x in starts], axis=0)
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (who[:, 0], who[:, 1], np.concatenate(starts).astype(np.int32), halves[:, 0], halves[:, 1])], names=[*ROW, "first", "d1", "d2"])
+
+
+def passages(docs: DataFrame, packed: DataFrame, count: int) -> DataFrame:
+    """(rid, th, first, n), in words: runs of starts of ``count``-word strings that also start elsewhere."""
+    runs = settle(cut(docs.mapInArrow(_coarse(count, max(1, count * 4 // 25), by_word=True), _RUN), "word_runs"))
+    runs = cut(runs.withColumn("large", F.lit(False)), "words")
+    texts = packed.join(_lists(runs.filter("open")), ROW).select(*ROW, "packed", "first", "n", "off", "key", "large")
+    strings = cut(texts.mapInArrow(_word_strings(count), f"{_ROW_KIND}, first int, d1 bigint, d2 bigint"), "word_strings")
+    twice = cut(strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("d1", "d2"), "twice")
+    found = strings.join(twice, ["d1", "d2"], "left_semi").select(*ROW, "first", F.lit(1).alias("n"))
+    return runs.filter("whole").select(*ROW, "first", "n").unionByName(found)
+
+
+def _covered(first: list[int] | None, n: list[int] | None, count: int) -> int:
+    """Words inside the strings of ``count`` words that start in some runs, each word once."""
+    if not first:
+        return 0
+    begin = np.array(first, np.int64)
+    order = np.argsort(begin)
+    begin = begin[order]
+    end = np.maximum.accumulate(begin + np.array(n, np.int64)[order] - 1 + count)
+    return int((end - np.maximum(begin, np.concatenate(([0], end[:-1])))).sum())
+
+
+def _remove(length: int, with_text: bool, count: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = []
                 part = batch.slice(lo, 256)
-                for doc, packed, first, n in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                for doc, packed, first, n, *at_words in zip(*(part.column(c).to_pylist() for c in range(part.num_columns)), strict=True):
                     raw = d.decompress(packed)
                     gone = np.zeros(len(raw) + 1, np.int32)
                     if first:
@@ -297,28 +359,36 @@ def _remove(length: int, with_text: bool):
                     gone = np.cumsum(gone[: len(raw)]) > 0
                     left = np.frombuffer(raw, np.uint8)[~gone].tobytes() if first else raw
                     edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    rows.append((doc, len(raw), len(raw) - len(left), len(edge) // 2, hashlib.sha256(left).hexdigest(), len(left) < len(raw), *((left.decode("utf-8", "ignore"), edge[::2].tolist(), edge[1::2].tolist()) if with_text else ())))
+                    rows.append((doc, len(raw), len(raw) - len(left), len(edge) // 2, hashlib.sha256(left).hexdigest(), len(left) < len(raw), *([_covered(*at_words, count)] if count else ()), *((left.decode("utf-8", "ignore"), edge[::2].tolist(), edge[1::2].tolist()) if with_text else ())))
                 columns = list(zip(*rows, strict=True))
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed", "kept", "span_starts", "span_ends"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed", *["n_passage_words"] * bool(count), "kept", "span_starts", "span_ends"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * bool(count), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed[, kept, span_starts, span_ends]): each text, as UTF-8 bytes, without every byte that a
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, passage_words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed[, n_passage_words][, kept, span_starts, span_ends]): each text, as UTF-8 bytes, without every byte that a
     ``length``-byte string covers which starts at two places or more, the same document included.
 
     Strings never cross documents and are judged on the input. ``kept`` leaves out bytes of characters that were cut in two; the hash is of all bytes left.
+    With ``passage_words``, n_passage_words counts the words (runs of anything but ASCII white space, as written) inside a string of so many words that starts at two
+    places or more, the same document included, whatever its bytes. It's a report: nothing is removed for it.
     A row for each row, with ids or without, and ids may come again: each row counts by itself, so a text of ``length`` bytes that two rows have goes from both.
     Null and empty texts have no bytes, and an empty table gives an empty one. Other columns of ``docs`` aren't read. ``length`` must be at least 64, so that anchors are sparse.
     """
     if length < 64:
         raise ValueError("length must be at least 64")
+    if passage_words is not None and passage_words < 1:
+        raise ValueError("passage_words must be at least 1")
     texts = keyed(docs, id_col, text_col)
     packed = texts.select("doc_id", *ROW, "text").mapInArrow(_pack, f"doc_id bigint, {_ROW_KIND}, packed binary")
-    found = repeats(texts.select(*ROW, "text"), packed, length).groupBy(*ROW).agg(F.collect_set(F.struct("first", "n")).alias("runs"))
-    found = found.select(*ROW, F.col("runs.first").alias("first"), F.col("runs.n").alias("n"))
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, changed boolean" + ", kept string, span_starts array<bigint>, span_ends array<bigint>" * with_text
-    return packed.join(found, ROW, "left").select("doc_id", "packed", "first", "n").mapInArrow(_remove(length, with_text), schema)
+    runs = {"runs": repeats(texts.select(*ROW, "text"), packed, length)}
+    if passage_words:
+        runs["word_runs"] = passages(texts.select(*ROW, "text"), packed, passage_words)
+    found = functools.reduce(DataFrame.unionByName, (x.withColumn("of", F.lit(name)) for name, x in runs.items()))
+    found = found.groupBy(*ROW).agg(*(F.collect_set(F.when(F.col("of") == name, F.struct("first", "n"))).alias(name) for name in runs))
+    lists = [F.col(f"{name}.{c}").alias(f"{name}_{c}") for name in runs for c in ("first", "n")]
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, changed boolean" + ", n_passage_words bigint" * bool(passage_words) + ", kept string, span_starts array<bigint>, span_ends array<bigint>" * with_text
+    return packed.join(found.select(*ROW, *lists), ROW, "left").drop(*ROW).mapInArrow(_remove(length, with_text, passage_words), schema)
