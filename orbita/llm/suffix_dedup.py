@@ -15,7 +15,6 @@ bytes; starts that whole runs leave open are settled by counted hashes.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from orbita.llm.suffix_anchors import GRAM, cells
 
 FINE = 32
 #: Bytes of text whose anchors are found at once; a longer document is taken whole.
-ANCHOR_BYTES = 1 << 20
+ANCHOR_BYTES = 1 << 18
 #: Bytes of text in one suffix sorting.
 BLOCK_BYTES = 4 << 20
 #: A key that more runs share than this is settled start by start with counted hashes, which needs no task to hold the key's runs.
@@ -125,32 +124,34 @@ _RUN = f"{_ROW_KIND}, first int, n int, off int, key bigint, content bigint"
 _RUN_NAMES = [*ROW, "first", "n", "off", "key", "content"]
 
 
-def _coarse(length: int, core: int, by_word: bool = False):
-    """Runs of starts of ``length``-byte strings that have one anchor, or of strings of so many words; places and lengths are in bytes, or words."""
+def _runs(ids: list[np.ndarray], at: np.ndarray, values: np.ndarray, raw: np.ndarray, length: int, core: int, gram: int, by_word: bool) -> pa.RecordBatch:
+    """Runs of some texts, which begin ``at`` places of ``values`` and of ``raw``. Those over words have an ``off`` of -1."""
+    row, first, last, anchor = cells(values, at, length, core, gram)
+    h = xxhash.xxh3_64_intdigest
+    u = raw.itemsize
+    held = memoryview(raw.tobytes())
+    off = anchor - first
+    keys = [_signed(h(held[u * a : u * (a + core)])) for a in anchor.tolist()]
+    content = [_signed(h(held[u * f : u * (e + length)], o)) for f, e, o in zip(first.tolist(), last.tolist(), off.tolist(), strict=True)]
+    places = (first - at[row], last - first + 1, np.full(len(off), -1) if by_word else off)
+    return pa.RecordBatch.from_arrays([*(pa.array(x[row]) for x in ids), *(pa.array(x, pa.int32()) for x in places), pa.array(keys, pa.int64()), pa.array(content, pa.int64())], names=_RUN_NAMES)
+
+
+def _coarse(length: int, core: int, count: int | None):
+    """Runs of starts of ``length``-byte strings that have one anchor and, with ``count``, of strings of so many words, with places and lengths in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh3_64_intdigest
         for batch in batches:
             offsets, data = utf8(batch.column(2))
             ids = [batch.column(c).to_numpy() for c in (0, 1)]
             for lo, hi in groups(offsets, ANCHOR_BYTES):
-                if by_word:
-                    text, _, _, b = words(offsets[lo : hi + 1], data, lower=False)
-                    at = np.searchsorted(text, np.arange(hi - lo + 1))
-                    row, first, last, anchor = cells(b, at, length, core, core)
-                else:
-                    at = offsets[lo : hi + 1] - offsets[lo]
-                    b = data[offsets[lo] : offsets[hi]]
-                    row, first, last, anchor = cells(_TABLE[b], at, length, core)
-                raw = memoryview(b.tobytes())
-                u = b.itemsize
-                off = anchor - first
-                keys = [_signed(h(raw[u * a : u * (a + core)])) for a in anchor.tolist()]
-                content = [_signed(h(raw[u * f : u * (e + length)], o)) for f, e, o in zip(first.tolist(), last.tolist(), off.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x[lo:hi][row]) for x in ids), *(pa.array(x, pa.int32()) for x in (first - at[row], last - first + 1, off)), pa.array(keys, pa.int64()), pa.array(content, pa.int64())],
-                    names=_RUN_NAMES,
-                )
+                own = [x[lo:hi] for x in ids]
+                b = data[offsets[lo] : offsets[hi]]
+                yield _runs(own, offsets[lo : hi + 1] - offsets[lo], _TABLE[b], b, length, core, GRAM, False)
+                if count:
+                    text, _, _, hashes = words(offsets[lo : hi + 1], data, lower=False)
+                    word_core = max(1, count * 4 // 25)
+                    yield _runs(own, np.searchsorted(text, np.arange(hi - lo + 1)), hashes, hashes, count, word_core, word_core, True)
 
     return run
 
@@ -186,14 +187,28 @@ def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int,
             yield (columns[0][i].as_py(), columns[1][i].as_py()), d.decompress(columns[2][i].as_py()), zip(*(c[i].as_py() for c in columns[3:8]), strict=True)
 
 
-def _fine(length: int):
-    """Cuts runs at distances from the anchor that are multiples of FINE; a part's key is the bytes that all strings of its distances share."""
+def _fine(length: int, count: int | None):
+    """Cuts runs at distances from the anchor that are multiples of FINE; a part's key is the bytes that all strings of its distances share.
+
+    Of runs over words each start becomes a part, whose key and content are 128 bits of its words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         rows: list[tuple] = []
+        owner: list[tuple[int, int]] = []
+        starts: list[np.ndarray] = []
+        digests: list[bytes] = []
         for doc, raw, runs in _with_texts(batches):
+            hashes = None
             for first, n, off, key, _ in runs:
+                if off < 0:
+                    if hashes is None:
+                        hashes = memoryview(words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), lower=False)[3].tobytes())
+                    owner.append(doc)
+                    starts.append(np.arange(first, first + n))
+                    digests += [xxhash.xxh3_128_digest(hashes[8 * p : 8 * (p + count)]) for p in range(first, first + n)]
+                    continue
                 anchor, last = first + off, first + n - 1
                 o = anchor - last
                 while o <= off:
@@ -206,11 +221,23 @@ def _fine(length: int):
             if len(rows) >= 20_000:
                 yield _table(rows)
                 rows = []
+            if len(digests) >= 50_000:
+                yield _digests(owner, starts, digests)
+                owner, starts, digests = [], [], []
         yield _table(rows)
+        if digests:
+            yield _digests(owner, starts, digests)
 
     return run
 
 
+def _digests(owner: list[tuple[int, int]], starts: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
+    who = np.repeat(np.array(owner, np.int64), [len(x) for x in starts], axis=0)
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    one = np.ones(len(halves), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (who[:, 0], who[:, 1], np.concatenate(starts).astype(np.int32), one, -one, halves[:, 0], halves[:, 1])], names=_RUN_NAMES)
+
+
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 7
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
@@ -271,65 +298,29 @@ def _sorted(length: int):
     return run
 
 
-def repeats(docs: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    """(rid, th, first, n): runs of starts of ``length``-byte strings that also start elsewhere. ``packed`` has the documents' compressed texts."""
+def repeats(docs: DataFrame, packed: DataFrame, length: int, count: int | None = None) -> DataFrame:
+    """(rid, th, first, n, by_word): runs of starts of ``length``-byte strings that also start elsewhere and, with ``count``, of strings of so many words, in words.
+
+    ``packed`` has the documents' compressed texts.
+    """
     core = max(GRAM, length * 9 // 25)
     n = width(docs.sparkSession)
-    coarse = settle(cut(docs.mapInArrow(_coarse(length, core), _RUN), "runs"))
+    coarse = settle(cut(docs.mapInArrow(_coarse(length, core, count), _RUN), "runs"))
     coarse = cut(coarse.withColumn("large", F.lit(False)), "coarse")
     parts = packed.join(_lists(coarse.filter("open")), ROW).select(*ROW, "packed", "first", "n", "off", "key", "large")
-    fine = settle(cut(parts.mapInArrow(_fine(length), _RUN), "parts"))
+    fine = settle(cut(parts.mapInArrow(_fine(length, count), _RUN), "parts"))
     fine = cut(fine.withColumn("large", F.col("sharers") > MOST_SORTED), "fine")
-    strings = packed.join(_lists(fine.filter("open")), ROW).select(*ROW, "packed", "first", "n", "off", "key", "large")
+    strings = packed.join(_lists(fine.filter("open and off >= 0")), ROW).select(*ROW, "packed", "first", "n", "off", "key", "large")
     strings = cut(strings.mapInArrow(_strings(length), f"{_ROW_KIND}, first int, n int, key bigint, bytes binary").withColumn("hashed", F.octet_length("bytes") == 16), "strings")
     in_order = strings.filter("not hashed").select(*ROW, "first", "n", "key", "bytes").repartition(n, "key").sortWithinPartitions("key")
     by_sort = in_order.mapInArrow(_sorted(length), f"{_ROW_KIND}, first int, n int")
     hashes = strings.filter("hashed")
     twice = hashes.groupBy("key", "bytes").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     by_hash = hashes.join(twice, ["key", "bytes"], "left_semi").select(*ROW, "first", "n")
-    plain = [*ROW, "first", "n"]
+    plain = [*ROW, "first", "n", (F.col("off") < 0).alias("by_word")]
     # what stands for equal runs also answers for them
-    open_fine = fine.filter("whole").select(*plain)
-    return coarse.filter("whole").select(*plain).unionByName(open_fine).unionByName(by_sort).unionByName(by_hash)
-
-
-def _word_strings(count: int):
-    """128 bits of each string of ``count`` words that starts in an open run."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner: list[tuple[int, int]] = []
-        starts: list[np.ndarray] = []
-        digests: list[bytes] = []
-        for doc, raw, runs in _with_texts(batches):
-            hashes = memoryview(words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), lower=False)[3].tobytes())
-            for first, n, *_ in runs:
-                owner.append(doc)
-                starts.append(np.arange(first, first + n))
-                digests += [xxhash.xxh3_128_digest(hashes[8 * p : 8 * (p + count)]) for p in range(first, first + n)]
-            if len(digests) >= 50_000:
-                yield _digests(owner, starts, digests)
-                owner, starts, digests = [], [], []
-        if digests:
-            yield _digests(owner, starts, digests)
-
-    return run
-
-
-def _digests(owner: list[tuple[int, int]], starts: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
-    who = np.repeat(np.array(owner, np.int64), [len(x) for x in starts], axis=0)
-    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (who[:, 0], who[:, 1], np.concatenate(starts).astype(np.int32), halves[:, 0], halves[:, 1])], names=[*ROW, "first", "d1", "d2"])
-
-
-def passages(docs: DataFrame, packed: DataFrame, count: int) -> DataFrame:
-    """(rid, th, first, n), in words: runs of starts of ``count``-word strings that also start elsewhere."""
-    runs = settle(cut(docs.mapInArrow(_coarse(count, max(1, count * 4 // 25), by_word=True), _RUN), "word_runs"))
-    runs = cut(runs.withColumn("large", F.lit(False)), "words")
-    texts = packed.join(_lists(runs.filter("open")), ROW).select(*ROW, "packed", "first", "n", "off", "key", "large")
-    strings = cut(texts.mapInArrow(_word_strings(count), f"{_ROW_KIND}, first int, d1 bigint, d2 bigint"), "word_strings")
-    twice = cut(strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("d1", "d2"), "twice")
-    found = strings.join(twice, ["d1", "d2"], "left_semi").select(*ROW, "first", F.lit(1).alias("n"))
-    return runs.filter("whole").select(*ROW, "first", "n").unionByName(found)
+    whole = coarse.filter("whole").select(*plain).unionByName(fine.filter("whole").select(*plain))
+    return whole.unionByName(by_sort.unionByName(by_hash).withColumn("by_word", F.lit(False)))
 
 
 def _covered(first: list[int] | None, n: list[int] | None, count: int) -> int:
@@ -384,11 +375,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         raise ValueError("passage_words must be at least 1")
     texts = keyed(docs, id_col, text_col)
     packed = texts.select("doc_id", *ROW, "text").mapInArrow(_pack, f"doc_id bigint, {_ROW_KIND}, packed binary")
-    runs = {"runs": repeats(texts.select(*ROW, "text"), packed, length)}
-    if passage_words:
-        runs["word_runs"] = passages(texts.select(*ROW, "text"), packed, passage_words)
-    found = functools.reduce(DataFrame.unionByName, (x.withColumn("of", F.lit(name)) for name, x in runs.items()))
-    found = found.groupBy(*ROW).agg(*(F.collect_set(F.when(F.col("of") == name, F.struct("first", "n"))).alias(name) for name in runs))
-    lists = [F.col(f"{name}.{c}").alias(f"{name}_{c}") for name in runs for c in ("first", "n")]
+    kinds = {"runs": ~F.col("by_word"), "word_runs": F.col("by_word")} if passage_words else {"runs": F.lit(True)}
+    found = repeats(texts.select(*ROW, "text"), packed, length, passage_words).groupBy(*ROW)
+    found = found.agg(*(F.collect_set(F.when(kind, F.struct("first", "n"))).alias(name) for name, kind in kinds.items()))
+    lists = [F.col(f"{name}.{c}").alias(f"{name}_{c}") for name in kinds for c in ("first", "n")]
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, changed boolean" + ", n_passage_words bigint" * bool(passage_words) + ", kept string, span_starts array<bigint>, span_ends array<bigint>" * with_text
     return packed.join(found.select(*ROW, *lists), ROW, "left").drop(*ROW).mapInArrow(_remove(length, with_text, passage_words), schema)
